@@ -1,0 +1,262 @@
+"""Mapping free-entered values to a canonical list (problem 7).
+
+Each value is brought to a normal form (words without case, marks and known
+additions such as "intro to" or "part 2") and looked up, in this order:
+
+1. exactly: an entry's words in order, joined, reversed or turned round a
+   comma, its short form (also in the plural), or an entry inside the value;
+2. by edits: a BK-tree over the entries under the Levenshtein distance, a true
+   metric; the triangle inequality prunes subtrees and every entry within
+   the threshold is returned, the nearest one (then the smaller id) wins;
+3. as a cut-off entry: the value is the beginning of exactly one entry.
+
+The tree is walked for a whole batch of values at a time: at each node one
+bit-parallel pass gives the distance of its entry to all values that reach it.
+A reference list of up to ``MAX_BROADCAST`` entries is broadcast whole; a longer
+one is sharded, and the shard winners are merged per record.
+
+Defined results: null and blank values and literal entries are not mapped (no
+row); a value that fits nothing gives 0; equal distances go to the smaller id;
+very long values exceed every entry by more than the threshold and give 0;
+empty reference lists give 0 throughout; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomline.functions.keys import words
+
+MAX_BROADCAST = 100_000
+#: Words that people put before and after a topic.
+LEADING = frozenset("topic intro introduction to advanced basic beginner course lesson".split())
+TRAILING = frozenset("basics beginner beginners advanced exercises exercise part notes course".split())
+_DIGITS = re.compile(r"\d+")
+
+
+def threshold(length: int) -> int:
+    """Most edits accepted for an entry of so many letters."""
+    return 4 if length >= 12 else length // 4
+
+
+def levenshtein(a: str, b: str) -> int:
+    """Plain dynamic programme, for entries longer than a machine word and for tests."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def distances(entry: str, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Distance of an entry (1..64 letters) to many strings at once (bit-parallel).
+
+    chars: (n, longest) code points, 0 beyond each string's end.
+    """
+    m, n = len(entry), len(chars)
+    one = np.uint64(1)
+    masks: dict[int, np.uint64] = {}
+    for i, c in enumerate(entry):
+        masks[ord(c)] = masks.get(ord(c), np.uint64(0)) | (one << np.uint64(i))
+    plus = np.full(n, (1 << m) - 1 if m < 64 else 0xFFFFFFFFFFFFFFFF, np.uint64)
+    minus = np.zeros(n, np.uint64)
+    top = one << np.uint64(m - 1)
+    score = np.full(n, m, np.int64)
+    result = np.where(lengths == 0, m, 0)
+    known = np.array(sorted(masks), np.int64)
+    values = np.array([masks[c] for c in known.tolist()], np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(chars.shape[1]):
+            at = np.searchsorted(known, chars[:, j]).clip(max=len(known) - 1)
+            eq = np.where(known[at] == chars[:, j], values[at], np.uint64(0))
+            x = eq | minus
+            d0 = (((x & plus) + plus) ^ plus) | x
+            hp = minus | ~(d0 | plus)
+            hm = plus & d0
+            score += ((hp & top) != 0).astype(np.int64) - ((hm & top) != 0)
+            hp = (hp << one) | one
+            hm = hm << one
+            plus = hm | ~(d0 | hp)
+            minus = hp & d0
+            ended = lengths == j + 1
+            result[ended] = score[ended]
+    return result
+
+
+class BKTree:
+    """Burkhard-Keller tree over (text, id); searched for many values at a time."""
+
+    def __init__(self, entries: list[tuple[str, int]]):
+        self.nodes: list[tuple[str, int]] = []
+        self.children: list[dict[int, int]] = []
+        for text, ident in entries:
+            if not self.nodes:
+                self._add(text, ident)
+                continue
+            at = 0
+            while True:
+                d = levenshtein(text, self.nodes[at][0])
+                if d not in self.children[at]:
+                    self.children[at][d] = self._add(text, ident)
+                    break
+                at = self.children[at][d]
+
+    def _add(self, text: str, ident: int) -> int:
+        self.nodes.append((text, ident))
+        self.children.append({})
+        return len(self.nodes) - 1
+
+    def within(self, values: list[str], limit) -> list[list[tuple[int, int]]]:
+        """For each value, (distance, id) of every entry within ``limit(len(entry))``."""
+        found: list[list[tuple[int, int]]] = [[] for _ in values]
+        if not self.nodes or not values:
+            return found
+        longest_entry = max(len(t) for t, _ in self.nodes)
+        most = max(limit(len(t)) for t, _ in self.nodes)
+        lengths = np.array([len(v) for v in values], np.int64)
+        active = np.flatnonzero(lengths <= longest_entry + most)
+        width = int(lengths[active].max()) if len(active) else 0
+        chars = np.zeros((len(values), width), np.int64)
+        for i in active:
+            chars[i, : lengths[i]] = [ord(c) for c in values[i]]
+        stack = [(0, active)]
+        while stack:
+            node, who = stack.pop()
+            if not len(who):
+                continue
+            text, ident = self.nodes[node]
+            if 1 <= len(text) <= 64:
+                d = distances(text, chars[who], lengths[who])
+            else:
+                d = np.array([levenshtein(text, values[i]) for i in who])
+            for i, x in zip(who[d <= limit(len(text))].tolist(), d[d <= limit(len(text))].tolist()):
+                found[i].append((x, ident))
+            for edge, child in self.children[node].items():
+                stack.append((child, who[np.abs(d - edge) <= most]))
+        return found
+
+
+def core_words(value: str) -> list[str]:
+    """Words of a value without additions at its ends."""
+    own = words(value)
+    while len(own) > 1 and (own[-1] in TRAILING or _DIGITS.fullmatch(own[-1])):
+        own.pop()
+    while len(own) > 1 and (own[0] in LEADING or _DIGITS.fullmatch(own[0])):
+        own.pop(0)
+    return own
+
+
+class Matcher:
+    """Lookup of values in one reference list of (id, text, short form)."""
+
+    def __init__(self, entries: list[tuple[int, str, str | None]]):
+        self.literal = {t for _, t, _ in entries if t is not None}
+        self.exact: dict[str, int] = {}
+        self.inside: dict[tuple, int] = {}
+        self.plain: dict[str, int] = {}
+        for ident, text, short in sorted(entries, key=lambda e: e[0]):
+            own = words(text)
+            if not own:
+                continue
+            self.plain.setdefault("".join(own), ident)
+            for form in (own, own[::-1], own[-1:] + own[:-1], own[1:] + own[:1]):
+                self.exact.setdefault("".join(form), ident)
+            self.inside.setdefault(tuple(own), ident)
+            if short and (s := "".join(words(short))):
+                self.exact.setdefault(s, ident)
+                self.exact.setdefault(s + "s", ident)
+        self.longest = max((len(k) for k in self.inside), default=0)
+        self.tree = BKTree(sorted((t, i) for t, i in self.plain.items()))
+        self.sorted = sorted(self.plain)
+
+    def _contained(self, own: list[str]) -> int | None:
+        for n in range(min(self.longest, len(own)), 0, -1):
+            for i in range(len(own) - n + 1):
+                if (ident := self.inside.get(tuple(own[i : i + n]))) is not None:
+                    return ident
+        return None
+
+    def _cut_off(self, text: str) -> int | None:
+        from bisect import bisect_left
+
+        if len(text) < 5:
+            return None
+        at = bisect_left(self.sorted, text)
+        if at < len(self.sorted) and self.sorted[at].startswith(text) and not (at + 1 < len(self.sorted) and self.sorted[at + 1].startswith(text)):
+            return self.plain[self.sorted[at]] if 2 * len(text) >= len(self.sorted[at]) else None
+        return None
+
+    def match(self, values: list[str]) -> list[tuple[int, int]]:
+        """(distance, id) of each value; id 0 if nothing fits."""
+        result: list[tuple[int, int] | None] = []
+        open_: list[tuple[int, str]] = []
+        for k, value in enumerate(values):
+            own = core_words(value)
+            text = "".join(own)
+            ident = self.exact.get(text) or self.exact.get("".join(words(value))) or self._contained(own)
+            result.append((0, ident) if ident else None)
+            if not ident:
+                open_.append((k, text))
+        for (k, text), found in zip(open_, self.tree.within([t for _, t in open_], threshold)):
+            if found:
+                result[k] = min(found)
+            else:
+                cut = self._cut_off(text)
+                result[k] = (0, cut) if cut else (1 << 20, 0)
+        return result
+
+
+def _mapped(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        memo: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            wanted = [(i, v) for i, v in zip(ids, values) if v is not None and v.strip() and v not in matcher.literal]
+            if len(memo) > 500_000:
+                memo.clear()
+            new = list(dict.fromkeys(v for _, v in wanted if v not in memo))
+            memo.update(zip(new, matcher.match(new)))
+            got = [memo[v] for _, v in wanted]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in wanted], pa.int64()), pa.array([d for d, _ in got], pa.int32()), pa.array([t for _, t in got], pa.int32())],
+                names=["record_id", "distance", "topic_id"],
+            )
+
+    return run
+
+
+def map_to_reference(df: DataFrame, reference: DataFrame, id_column: str = "record_id", value_column: str = "topic", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(record_id, topic_id): the entry meant by each hand-typed value, 0 if none.
+
+    ``reference`` has topic_id, topic, short_form.
+    """
+    entries = reference.select(F.col("topic_id").cast("int"), F.col("topic").cast("string"), F.col("short_form").cast("string"))
+    pairs = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(value_column).cast("string").alias("value"))
+    shards = max(1, -(-entries.count() // max_broadcast))
+    context = df.sparkSession.sparkContext
+    if shards == 1:
+        shared = context.broadcast([tuple(r) for r in entries.toLocalIterator()])
+        return pairs.mapInArrow(_mapped(shared), "record_id bigint, distance int, topic_id int").select("record_id", "topic_id")
+    values = pairs.join(entries.select(F.col("topic").alias("value")), "value", "left_anti").select("record_id", "value")
+    parts = None
+    for shard in range(shards):
+        own = entries.filter(F.pmod(F.xxhash64("topic"), F.lit(shards)) == shard)
+        shared = context.broadcast([tuple(r) for r in own.toLocalIterator()])
+        part = values.mapInArrow(_mapped(shared), "record_id bigint, distance int, topic_id int")
+        parts = part if parts is None else parts.unionByName(part)
+    best = parts.groupBy("record_id").agg(F.min(F.struct("distance", "topic_id")).alias("best"))
+    return best.select("record_id", F.col("best.topic_id").alias("topic_id"))
+
+
+def unmatched_values(df: DataFrame, mapped: DataFrame, id_column: str = "record_id", value_column: str = "topic") -> DataFrame:
+    """(value, records) of the values that fit no entry."""
+    none = mapped.filter("topic_id = 0").select(F.col("record_id").alias(id_column))
+    return df.select(id_column, F.col(value_column).alias("value")).join(none, id_column, "left_semi").groupBy("value").agg(F.count("*").alias("records"))

@@ -1,0 +1,71 @@
+"""Duplicates hidden by formatting differences (problem 6).
+
+1. Every row's canonical key is hashed; partition Bloom filters of keys seen
+   once and seen again are merged into one bounded filter (``bloom``).
+2. Rows whose key is not in the "repeated" filter are singletons and never
+   shuffled. Only possible repeats go through an exact grouping on a 128-bit
+   digest of the key (pre-aggregated map-side, so a key that holds a third of
+   all rows is no hot task).
+
+Defined results: null, empty or mark-only texts have no key and are left out;
+an empty table gives an empty result; ties have one outcome because the group
+id is the smallest record id; other columns of the input are never touched, so
+clashing names do no harm; texts of any length are hashed whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomline.functions.keys import form_key, key_digest
+from loomline.operators import bloom
+from loomline.session import durable
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = (form_key(text) for text in batch.column(0).to_pylist())
+        codes = [int.from_bytes(key_digest(k)[:8], "little", signed=True) if k else None for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64())], names=["code"])
+
+
+def _marked(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            keys = [form_key(text) for text in batch.column(1).to_pylist()]
+            digests = [key_digest(k) if k else None for k in keys]
+            codes = np.array([int.from_bytes(d[:8], "little", signed=True) if d else 0 for d in digests], np.int64)
+            maybe = bloom.contains(bits, codes) if len(codes) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(maybe)], names=["record_id", "key", "maybe"])
+
+    return run
+
+
+def _with_marks(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    texts = df.select(F.col(text_column).cast("string").alias("text"))
+    log_bits = bloom.log_bits_for(df.count())
+    bits = bloom.merged_filter(texts.mapInArrow(_codes, "code bigint"), "code", log_bits, "repeated")
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    pairs = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(text_column).cast("string").alias("text"))
+    return pairs.mapInArrow(_marked(shared), "record_id bigint, key binary, maybe boolean").filter("key is not null")
+
+
+def form_groups(df: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
+    """(record_id, group_id) of every row whose text another row has in other form."""
+    repeats = durable(_with_marks(df, id_column, text_column).filter("maybe").select("record_id", "key"))
+    groups = repeats.groupBy("key").agg(F.min("record_id").alias("group_id"), F.count("*").alias("copies")).filter("copies > 1")
+    return repeats.join(groups, "key").select("record_id", "group_id")
+
+
+def collapse_forms(df: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
+    """One row per distinct text: (record_id of the first copy, copies)."""
+    marked = _with_marks(df, id_column, text_column)
+    repeats = marked.filter("maybe").groupBy("key").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies")).drop("key")
+    singles = marked.filter("not maybe").select("record_id", F.lit(1).cast("bigint").alias("copies"))
+    return singles.unionByName(repeats)

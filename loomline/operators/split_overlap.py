@@ -1,0 +1,204 @@
+"""Same or near-same records across splits (problem 4).
+
+Evaluation questions are matched against all training questions by
+Aho-Corasick automata over sharded, normalised evaluation passages.
+
+* Normal form: the distinct words of a question in one global order, rare words
+  first, so that reordered sentences give the same form. In front stands one
+  symbol for the form key (letters and digits in order), by which exact copies
+  with other word borders are found too.
+* Passages: an evaluation question of ``n`` words is cut into pairs of
+  neighbouring words. A training question within the threshold differs by at
+  most ``d = n // 3`` words (threshold 3/4); each differing word breaks at most
+  one passage, so at least ``n // 2 - d`` passages occur verbatim in its form.
+  That bound (two passages where it allows, one else) prunes the rest; no
+  partner above the threshold can be lost.
+* Evaluation questions are sharded, training questions are dealt into blocks;
+  every block is scanned once by the automaton of every shard. The intervals
+  matched in a training question are merged into the number of covered words
+  per evaluation question, and an exact word-set check follows.
+
+Exact copies are collapsed before the scan (one class per side and text), so a
+question that fills a third of the rows is scanned once. Pairs of classes are
+expanded to records at the end.
+
+Defined results: null, empty and mark-only questions match nothing; repeated
+rows each take part; empty tables give an empty result; very long questions are
+scanned whole; other columns of the input are not read.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomline.functions.keys import form_key, key_digest, word_code, words
+from loomline.session import durable
+
+#: Shared distinct words / all distinct words, as a fraction.
+SHARED, OF = 3, 4
+EVAL_SHARD = 20_000
+TRAIN_BLOCK = 20_000
+#: Most words whose frequency takes part in the global order; the others count as rare.
+FREQUENT_WORDS = 20_000
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes: dict[str, int] = {}
+    for batch in batches:
+        if len(codes) > 1_000_000:
+            codes.clear()
+        keys, sets, texts = [], [], []
+        for text in batch.column(2).to_pylist():
+            own = sorted(set(words(text)))
+            key = form_key(text)
+            for w in own:
+                if w not in codes:
+                    codes[w] = word_code(w)
+            keys.append(key_digest(key) if key else None)
+            sets.append([codes[w] for w in own])
+            texts.append(xxhash.xxh3_128_digest("\0".join([key, *own]).encode("utf-8", "surrogatepass")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+            names=["record_id", "train", "key", "text", "words"],
+        )
+
+
+def passages(n: int) -> tuple[list[tuple[int, int]], int]:
+    """Borders of the passages of an ``n``-word form that are looked for, and how many must match.
+
+    ``n - shared`` plus the words only the other side has is at most
+    ``n * (OF - SHARED) / SHARED``.
+    """
+    differing = n * (OF - SHARED) // SHARED
+    width = 2 if n // 2 > differing else 1
+    borders = [(i, i + width) for i in range(0, n - width + 1, width)]
+    least = len(borders) - differing
+    need = min(2, least)
+    return borders[: len(borders) - least + need], need
+
+
+def _symbol(code: int) -> int:
+    return code & 0xFFFFFFFF
+
+
+def _ordered(codes, frequency: dict[int, int]) -> list[int]:
+    return sorted(codes, key=lambda c: (frequency.get(c, 0), c))
+
+
+def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, int]) -> list[tuple[bytes, bytes, float, float]]:
+    """(training text, evaluation text, coverage, similarity) of all matches in one block and shard."""
+    if not len(train) or not len(evals):
+        return []
+    found: dict[tuple, list[int]] = defaultdict(list)
+    own, sizes, needs, keys = [], [], [], list(evals["eval_key"])
+    for e, codes in enumerate(evals["eval_words"]):
+        form = _ordered([int(c) for c in codes], frequency)
+        borders, need = passages(len(form))
+        for a, b in borders:
+            found[tuple(_symbol(c) for c in form[a:b])].append(e)
+        own.append(set(form))
+        sizes.append(len(form))
+        needs.append(need)
+    by_key: dict[int, list[int]] = defaultdict(list)
+    for e, key in enumerate(keys):
+        if key is not None:
+            by_key[int.from_bytes(key[:8], "little")].append(e)
+    texts = list(evals["eval_text"])
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    postings, widths = [], []
+    for passage, members in found.items():
+        automaton.add_word(passage, len(postings))
+        postings.append(np.array(members, np.int32))
+        widths.append(len(passage))
+    # the key of the whole text is one passage of three symbols that no word can form
+    for key, members in by_key.items():
+        automaton.add_word((0, key & 0xFFFFFFFF, key >> 32), len(postings))
+        postings.append(np.array(members, np.int32))
+        widths.append(0)
+    automaton.make_automaton()
+    needs = np.array(needs)
+    result = []
+    for text, key, codes in zip(train["text"], train["key"], train["words"]):
+        form = _ordered([int(c) for c in codes], frequency)
+        head = int.from_bytes(key[:8], "little") if key is not None else 0
+        sequence = (0, head & 0xFFFFFFFF, head >> 32, *map(_symbol, form))
+        hits = [p for _, p in automaton.iter(sequence)]
+        if not hits:
+            continue
+        covered: dict[int, int] = {}
+        whole = set()
+        wide = [p for p in hits if widths[p]]
+        if wide:
+            members = np.concatenate([postings[p] for p in wide])
+            # passages of one question are disjoint and a form repeats no word, so intervals add up
+            lengths = np.repeat([widths[p] for p in wide], [len(postings[p]) for p in wide])
+            ids, at, n = np.unique(members, return_inverse=True, return_counts=True)
+            enough = n >= needs[ids]
+            if enough.any():
+                merged = np.bincount(at, weights=lengths)
+                covered.update(zip(ids[enough].tolist(), merged[enough].astype(int).tolist()))
+        for p in hits:
+            if not widths[p]:
+                for e in postings[p].tolist():
+                    whole.add(e)
+                    covered[e] = sizes[e]
+        if not covered:
+            continue
+        mine = set(form)
+        for e, length in covered.items():
+            shared = len(mine & own[e])
+            union = len(mine) + sizes[e] - shared
+            if (e in whole and keys[e] == key) or (union and OF * shared >= SHARED * union):
+                result.append((text, texts[e], min(1.0, length / max(1, sizes[e])), shared / union if union else 1.0))
+    return result
+
+
+def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
+    """(train_id, eval_id, coverage, similarity) of all overlapping pairs of records."""
+    spark = train.sparkSession
+
+    def side(df: DataFrame, is_train: bool) -> DataFrame:
+        return df.select(F.col(id_column).cast("bigint").alias("record_id"), F.lit(is_train).alias("train"), F.col(text_column).cast("string").alias("question"))
+
+    forms = side(train, True).unionByName(side(evaluation, False)).mapInArrow(_forms, "record_id bigint, train boolean, key binary, text binary, words array<bigint>")
+    forms = durable(forms.filter("size(words) > 0"))
+    members = forms.select("record_id", "train", "text")
+    classes = durable(forms.groupBy("train", "text").agg(F.first("key").alias("key"), F.first("words").alias("words")))
+    n_train, n_eval = classes.filter("train").count(), classes.filter("not train").count()
+
+    counts = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    frequency = {r["word"]: r["n"] for r in counts.filter(F.col("n") > max(1, (n_train + n_eval) // 1000)).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toLocalIterator()}
+    shared = spark.sparkContext.broadcast(frequency)
+    shards, blocks = max(1, -(-n_eval // EVAL_SHARD)), max(1, -(-n_train // TRAIN_BLOCK))
+
+    def dealt(is_train: bool) -> DataFrame:
+        own = classes.filter("train" if is_train else "not train").select("text", "key", "words")
+        home = F.pmod(F.xxhash64("text"), F.lit(blocks if is_train else shards)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit((shards if is_train else blocks) - 1)))
+        # fresh names: a cogroup confuses columns that both sides inherit from one table
+        return own.select(*(F.col(c).alias(c if is_train else f"eval_{c}") for c in ("text", "key", "words")), home.alias("block" if is_train else "shard"), other.alias("shard" if is_train else "block"))
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(scan_block(left, right, shared.value), columns=["train_text", "eval_text", "coverage", "similarity"])
+
+    cells = dealt(True).groupBy("shard", "block").cogroup(dealt(False).groupBy("shard", "block"))
+    pairs = cells.applyInPandas(scan, "train_text binary, eval_text binary, coverage double, similarity double")
+    left = members.filter("train").select(F.col("record_id").alias("train_id"), F.col("text").alias("train_text"))
+    right = members.filter("not train").select(F.col("record_id").alias("eval_id"), F.col("text").alias("eval_text"))
+    return pairs.join(left, "train_text").join(right, "eval_text").select("train_id", "eval_id", "coverage", "similarity")
+
+
+def overlap_report(pairs: DataFrame, evaluation: DataFrame, id_column: str = "record_id") -> DataFrame:
+    """(split, source, records, overlapping, pairs) per evaluation split and source."""
+    per = pairs.groupBy(F.col("eval_id").alias(id_column)).agg(F.count("*").alias("n"))
+    rows = evaluation.select(id_column, "split", F.coalesce(F.col("source"), F.lit("")).alias("source")).join(per, id_column, "left")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

@@ -1,0 +1,90 @@
+"""Queries of the general training-data problems (3 to 7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.operators import canonical_map, form_duplicates, linked_split, quota_sample, split_overlap
+from loomline.session import table
+
+
+def _targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
+    return [(r["split"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy(F.desc("target_share"), "split").toLocalIterator()]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_split.linked_records(table(spark, d, "merged_dataset"), table(spark, d, "case_studies"))
+
+
+def p3_split(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "merged_dataset")
+    groups = linked_split.record_groups(records, table(spark, d, "case_studies"))
+    return linked_split.stratified_group_split(groups, records, _targets(spark, d)).select("record_id", "group_id", "split")
+
+
+def p3_split_report(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "merged_dataset")
+    groups = linked_split.record_groups(records, table(spark, d, "case_studies"))
+    return linked_split.split_report(linked_split.stratified_group_split(groups, records, _targets(spark, d)))
+
+
+def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    columns = ["record_id", "split", "question", "source"]
+    splits, validation = table(spark, d, "splits").select(columns), table(spark, d, "validation").select(columns)
+    return splits.filter("split = 'train'"), splits.filter("split = 'test'").unionByName(validation.filter("split = 'validation'"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation = _evaluation(spark, d)
+    pairs = split_overlap.cross_split_overlaps(train, evaluation)
+    return pairs.select(F.least("train_id", "eval_id").alias("record_id_a"), F.greatest("train_id", "eval_id").alias("record_id_b"))
+
+
+def p4_overlap_report(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation = _evaluation(spark, d)
+    return split_overlap.overlap_report(split_overlap.cross_split_overlaps(train, evaluation), evaluation)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample.unreachable_strata(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample.quota_sample(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))[0]
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample.quota_sample(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))[1]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return form_duplicates.form_groups(table(spark, d, "merged_dataset"))
+
+
+def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return form_duplicates.collapse_forms(table(spark, d, "merged_dataset"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_map.map_to_reference(table(spark, d, "merged_dataset"), table(spark, d, "topic_reference"))
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "merged_dataset")
+    return canonical_map.unmatched_values(records, canonical_map.map_to_reference(records, table(spark, d, "topic_reference")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_split_report, p4_found, p4_overlap_report, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_found, p7_unmatched)}
+
+SQL = {
+    "p5_found": """
+        WITH have AS (
+          SELECT lower(regexp_replace(category, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS c,
+                 lower(regexp_replace(topic, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS t, count(*) AS n
+          FROM python_balanced_1000 GROUP BY 1, 2)
+        SELECT s.category, s.topic FROM sample_targets s
+        LEFT JOIN have h ON h.c = lower(trim(s.category)) AND h.t = lower(trim(s.topic))
+        WHERE coalesce(h.n, 0) < s.target_share * (SELECT count(*) * 0.2 FROM python_balanced_1000)
+    """,
+}
