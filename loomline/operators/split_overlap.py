@@ -8,11 +8,11 @@ Aho-Corasick automata over sharded, normalised evaluation passages.
   symbol for the form key (letters and digits in order), by which exact copies
   with other word borders are found too.
 * Passages: an evaluation question of ``n`` words is cut into pairs of
-  neighbouring words. A training question within the threshold differs by at
-  most ``d = n // 3`` words (threshold 3/4); each differing word breaks at most
-  one passage, so at least ``n // 2 - d`` passages occur verbatim in its form.
-  That bound (two passages where it allows, one else) prunes the rest; no
-  partner above the threshold can be lost.
+  neighbouring words. A training question of ``m`` words within the threshold
+  differs by at most ``d = (n + m) // 7`` words (threshold 3/4); each differing
+  word breaks at most one passage, so at least ``passages - d`` of them occur
+  verbatim in its form. That bound prunes the rest; no partner above the
+  threshold can be lost.
 * Evaluation questions are sharded, training questions are dealt into blocks;
   every block is scanned once by the automaton of every shard. The intervals
   matched in a training question are merged into the number of covered words
@@ -45,8 +45,8 @@ from loomline.session import durable
 
 #: Shared distinct words / all distinct words, as a fraction.
 SHARED, OF = 3, 4
-EVAL_SHARD = 20_000
-TRAIN_BLOCK = 20_000
+EVAL_SHARD = 40_000
+TRAIN_BLOCK = 30_000
 #: Most words whose frequency takes part in the global order; the others count as rare.
 FREQUENT_WORDS = 20_000
 
@@ -72,18 +72,20 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def passages(n: int) -> tuple[list[tuple[int, int]], int]:
-    """Borders of the passages of an ``n``-word form that are looked for, and how many must match.
+def passages(n: int) -> list[tuple[int, int]]:
+    """Borders of the passages of an ``n``-word form: pairs, or single words where pairs are too few."""
+    width = 2 if n // 2 > n * (OF - SHARED) // SHARED else 1
+    return [(i, i + width) for i in range(0, n - width + 1, width)]
 
-    ``n - shared`` plus the words only the other side has is at most
-    ``n * (OF - SHARED) / SHARED``.
+
+def passages_needed(sizes: np.ndarray, cut: np.ndarray, m: int) -> np.ndarray:
+    """Passages of evaluation questions that a partner of ``m`` words must hold.
+
+    sizes: their words, cut: their passages. Impossible sizes need more than there are.
     """
-    differing = n * (OF - SHARED) // SHARED
-    width = 2 if n // 2 > differing else 1
-    borders = [(i, i + width) for i in range(0, n - width + 1, width)]
-    least = len(borders) - differing
-    need = min(2, least)
-    return borders[: len(borders) - least + need], need
+    need = cut - (sizes + m) * (OF - SHARED) // (OF + SHARED)
+    possible = (OF * sizes >= SHARED * m) & (OF * m >= SHARED * sizes)
+    return np.where(possible, np.maximum(need, 1), 1 << 30)
 
 
 def _symbol(code: int) -> int:
@@ -99,15 +101,15 @@ def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, in
     if not len(train) or not len(evals):
         return []
     found: dict[tuple, list[int]] = defaultdict(list)
-    own, sizes, needs, keys = [], [], [], list(evals["eval_key"])
+    own, sizes, cut, keys = [], [], [], list(evals["eval_key"])
     for e, codes in enumerate(evals["eval_words"]):
         form = _ordered([int(c) for c in codes], frequency)
-        borders, need = passages(len(form))
+        borders = passages(len(form))
         for a, b in borders:
             found[tuple(_symbol(c) for c in form[a:b])].append(e)
-        own.append(set(form))
+        own.append(frozenset(form))
         sizes.append(len(form))
-        needs.append(need)
+        cut.append(len(borders))
     by_key: dict[int, list[int]] = defaultdict(list)
     for e, key in enumerate(keys):
         if key is not None:
@@ -125,39 +127,35 @@ def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, in
         postings.append(np.array(members, np.int32))
         widths.append(0)
     automaton.make_automaton()
-    needs = np.array(needs)
+    size_of, cut_of = np.array(sizes), np.array(cut)
+    needed: dict[int, np.ndarray] = {}
     result = []
     for text, key, codes in zip(train["text"], train["key"], train["words"]):
-        form = _ordered([int(c) for c in codes], frequency)
+        form = _ordered(codes.tolist(), frequency)
         head = int.from_bytes(key[:8], "little") if key is not None else 0
-        sequence = (0, head & 0xFFFFFFFF, head >> 32, *map(_symbol, form))
-        hits = [p for _, p in automaton.iter(sequence)]
+        hits = [p for _, p in automaton.iter((0, head & 0xFFFFFFFF, head >> 32, *(c & 0xFFFFFFFF for c in form)))]
         if not hits:
             continue
+        m = len(form)
+        if m not in needed:
+            if len(needed) > 200:
+                needed.clear()
+            needed[m] = passages_needed(size_of, cut_of, m)
+        # passages of one question are disjoint and a form repeats no word, so matched intervals add up
         covered: dict[int, int] = {}
-        whole = set()
         wide = [p for p in hits if widths[p]]
         if wide:
-            members = np.concatenate([postings[p] for p in wide])
-            # passages of one question are disjoint and a form repeats no word, so intervals add up
-            lengths = np.repeat([widths[p] for p in wide], [len(postings[p]) for p in wide])
-            ids, at, n = np.unique(members, return_inverse=True, return_counts=True)
-            enough = n >= needs[ids]
-            if enough.any():
-                merged = np.bincount(at, weights=lengths)
-                covered.update(zip(ids[enough].tolist(), merged[enough].astype(int).tolist()))
-        for p in hits:
-            if not widths[p]:
-                for e in postings[p].tolist():
-                    whole.add(e)
-                    covered[e] = sizes[e]
+            matched = np.bincount(np.concatenate([postings[p] for p in wide]), minlength=len(own))
+            covered = {e: int(matched[e]) * sizes[e] // cut[e] for e in np.flatnonzero(matched >= needed[m]).tolist()}
+        whole = {e for p in hits if not widths[p] for e in postings[p].tolist()}
+        covered.update((e, sizes[e]) for e in whole)
         if not covered:
             continue
-        mine = set(form)
+        mine = frozenset(form)
         for e, length in covered.items():
             shared = len(mine & own[e])
-            union = len(mine) + sizes[e] - shared
-            if (e in whole and keys[e] == key) or (union and OF * shared >= SHARED * union):
+            union = m + sizes[e] - shared
+            if OF * shared >= SHARED * union or (e in whole and keys[e] == key):
                 result.append((text, texts[e], min(1.0, length / max(1, sizes[e])), shared / union if union else 1.0))
     return result
 
