@@ -51,6 +51,11 @@ def any_of(text: Column, signs) -> Column:
     return F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(text, s)) if signs else F.lit(False)
 
 
+def bound(text: Column, f) -> Column:
+    """``f(text)`` with the text computed once, however often ``f`` uses it."""
+    return F.transform(F.array(text), f)[0]
+
+
 def level_name(column: str) -> Column:
     """Canonical level; '' for anything unknown."""
     wanted = F.lower(clean_text(column))
@@ -59,10 +64,14 @@ def level_name(column: str) -> Column:
 
 def programming_language(text: Column) -> Column:
     """First language whose sign the lower-cased text contains, else Other."""
-    chain = None
-    for name, signs in LANGUAGE_SIGNS:
-        chain = (F.when if chain is None else chain.when)(any_of(text, signs), name)
-    return chain.otherwise("Other")
+
+    def pick(t: Column) -> Column:
+        chain = F
+        for name, signs in LANGUAGE_SIGNS:
+            chain = chain.when(any_of(t, signs), name)
+        return chain.otherwise("Other")
+
+    return bound(text, pick)
 
 
 def minimal(keywords: list[str]) -> list[str]:
@@ -73,24 +82,30 @@ def minimal(keywords: list[str]) -> list[str]:
 
 def ordered_category(first: Column, second: Column, table: dict[str, list[str]], default: str = "Other") -> Column:
     """First category with a keyword in ``first``; failing that, in ``second``; else the default."""
-    chain = F
-    for text in (first, second):
-        for category, keywords in table.items():
-            chain = chain.when(any_of(text, minimal(keywords)), category)
-    return chain.otherwise(default) if chain is not F else F.lit(default)
+
+    def pick(texts: Column) -> Column:
+        chain = F
+        for text in (texts["first"], texts["second"]):
+            for category, keywords in table.items():
+                chain = chain.when(any_of(text, minimal(keywords)), category)
+        return chain.otherwise(default)
+
+    return bound(F.struct(first.alias("first"), second.alias("second")), pick) if table else F.lit(default)
 
 
 def scored_topic(text: Column, table: dict[str, list[str]] | None = None, default: str = SCORED_DEFAULT) -> Column:
     """Topic with most contained keywords (each listing counts); ties go to the earlier topic."""
     table = SCORED_TOPICS if table is None else table
-    scores = [F.struct(F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))).alias("score"), F.lit(-i).alias("rank"), F.lit(topic).alias("topic")) for i, (topic, keywords) in enumerate(table.items())]
-    # bound to a lambda variable, so that the scores are computed once
-    best = F.array(F.array_max(F.array(*scores)))
-    return F.transform(best, lambda b: F.when(b["score"] > 0, b["topic"]).otherwise(default))[0]
+
+    def best(t: Column) -> Column:
+        scores = [F.struct(F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(t, k))).alias("score"), F.lit(-i).alias("rank"), F.lit(topic).alias("topic")) for i, (topic, keywords) in enumerate(table.items())]
+        return F.array_max(F.array(*scores))
+
+    return bound(bound(text, best), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise(default))
 
 
 def topic_labels(text: Column, table: dict[str, list[str]] | None = None, default: str = "Other") -> Column:
     """All topics of which the text contains a keyword; the default where there are none."""
     table = LABEL_TOPICS if table is None else table
-    found = F.filter(F.array(*(F.when(any_of(text, minimal(keywords)), F.lit(topic)) for topic, keywords in table.items())), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    found = bound(text, lambda t: F.filter(F.array(*(F.when(any_of(t, minimal(keywords)), F.lit(topic)) for topic, keywords in table.items())), lambda x: x.isNotNull()))
+    return bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(default))))

@@ -37,6 +37,8 @@ def gram_counts(classes: DataFrame) -> DataFrame:
         return F.when(F.length("text") >= n, hashed).otherwise(F.array().cast("array<bigint>"))
 
     per_size = [of_size(n) for n in GRAMS]
+    # a text becomes hundreds of rows: spread them before, by number, which is not coalesced by size
+    classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
     return classes.select("rid", "copies", F.explode(F.concat(*per_size)).alias("gram")).groupBy("rid", "copies", "gram").agg(F.count("*").alias("tf"))
 
 
