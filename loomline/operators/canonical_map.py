@@ -13,17 +13,20 @@ additions such as "intro to" or "part 2") and looked up, in this order:
 The tree is walked for a whole batch of values at a time: at each node one
 bit-parallel pass gives the distance of its entry to all values that reach it.
 A reference list of up to ``MAX_BROADCAST`` entries is broadcast whole; a longer
-one is sharded, and the shard winners are merged per record.
+one is sharded, and the shard winners are merged per value (a beginning shared
+by entries of several shards then goes to the smaller id).
 
 Defined results: null and blank values and literal entries are not mapped (no
 row); a value that fits nothing gives 0; equal distances go to the smaller id;
 very long values exceed every entry by more than the threshold and give 0;
-empty reference lists give 0 throughout; other columns are not read.
+empty reference lists give 0 throughout; entries without id or text are
+ignored; repeated rows are mapped each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ MAX_BROADCAST = 100_000
 #: Words that people put before and after a topic.
 LEADING = frozenset("topic intro introduction to advanced basic beginner course lesson".split())
 TRAILING = frozenset("basics beginner beginners advanced exercises exercise part notes course".split())
+#: Rank of a cut-off entry: after every match by edits.
+CUT_OFF = 1000
 _DIGITS = re.compile(r"\d+")
 
 
@@ -184,8 +189,6 @@ class Matcher:
         return None
 
     def _cut_off(self, text: str) -> int | None:
-        from bisect import bisect_left
-
         if len(text) < 5:
             return None
         at = bisect_left(self.sorted, text)
@@ -209,11 +212,11 @@ class Matcher:
                 result[k] = min(found)
             else:
                 cut = self._cut_off(text)
-                result[k] = (0, cut) if cut else (1 << 20, 0)
+                result[k] = (CUT_OFF, cut) if cut else (1 << 20, 0)
         return result
 
 
-def _mapped(shared):
+def _mapped(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         memo: dict[str, tuple[int, int]] = {}
@@ -226,7 +229,7 @@ def _mapped(shared):
             memo.update(zip(new, matcher.match(new)))
             got = [memo[v] for _, v in wanted]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in wanted], pa.int64()), pa.array([d for d, _ in got], pa.int32()), pa.array([t for _, t in got], pa.int32())],
+                [pa.array([i for i, _ in wanted], id_type), pa.array([d for d, _ in got], pa.int32()), pa.array([t for _, t in got], pa.int32())],
                 names=["record_id", "distance", "topic_id"],
             )
 
@@ -238,22 +241,24 @@ def map_to_reference(df: DataFrame, reference: DataFrame, id_column: str = "reco
 
     ``reference`` has topic_id, topic, short_form.
     """
-    entries = reference.select(F.col("topic_id").cast("int"), F.col("topic").cast("string"), F.col("short_form").cast("string"))
+    entries = reference.select(F.col("topic_id").cast("int"), F.col("topic").cast("string"), F.col("short_form").cast("string")).filter("topic_id is not null and topic is not null")
     pairs = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(value_column).cast("string").alias("value"))
     shards = max(1, -(-entries.count() // max_broadcast))
     context = df.sparkSession.sparkContext
     if shards == 1:
         shared = context.broadcast([tuple(r) for r in entries.toLocalIterator()])
-        return pairs.mapInArrow(_mapped(shared), "record_id bigint, distance int, topic_id int").select("record_id", "topic_id")
-    values = pairs.join(entries.select(F.col("topic").alias("value")), "value", "left_anti").select("record_id", "value")
+        return pairs.mapInArrow(_mapped(shared, pa.int64()), "record_id bigint, distance int, topic_id int").select("record_id", "topic_id")
+    values = pairs.filter("value is not null").join(entries.select(F.col("topic").alias("value")), "value", "left_anti")
+    distinct = values.select("value").distinct().select("value", F.col("value").alias("again"))
     parts = None
     for shard in range(shards):
         own = entries.filter(F.pmod(F.xxhash64("topic"), F.lit(shards)) == shard)
         shared = context.broadcast([tuple(r) for r in own.toLocalIterator()])
-        part = values.mapInArrow(_mapped(shared), "record_id bigint, distance int, topic_id int")
+        part = distinct.mapInArrow(_mapped(shared, pa.string()), "value string, distance int, topic_id int")
         parts = part if parts is None else parts.unionByName(part)
-    best = parts.groupBy("record_id").agg(F.min(F.struct("distance", "topic_id")).alias("best"))
-    return best.select("record_id", F.col("best.topic_id").alias("topic_id"))
+    # no entry has distance 2 ** 20, so an entry beats none
+    best = parts.groupBy("value").agg(F.min(F.struct("distance", "topic_id")).alias("best"))
+    return values.join(best, "value").select("record_id", F.col("best.topic_id").alias("topic_id"))
 
 
 def unmatched_values(df: DataFrame, mapped: DataFrame, id_column: str = "record_id", value_column: str = "topic") -> DataFrame:

@@ -12,10 +12,13 @@ the global targets; the others are hashed into shards of about ``SHARD``
 components, each placed by one task against its share of what is still open:
 the rarest outstanding label first, into the split that needs it most.
 
-Defined results: a record without key and without entity is its own group; a
-null or blank category counts as one label of its own; empty tables give empty
-results; equal needs are broken by the order of the targets; other columns are
-never read. Targets are normalised to sum to one.
+Defined results: a record without key and without entity is its own group; rows
+without an id are left out; repeated rows of one id are one record of the split
+(with its smallest label) and are each listed by ``record_groups``; a null or
+blank category counts as one label of its own; empty tables give empty results;
+equal needs are broken by the order of the targets; other columns are never
+read. Targets are normalised to sum to one (all zero: equal shares); no target
+at all is an error. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -100,10 +103,10 @@ def _scan(shared):
 
 def record_groups(records: DataFrame, entities: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
     """(record_id, group_id, size) of every record; group_id is the smallest id of its group."""
-    tokens = durable(entity_tokens(entities))
+    tokens = durable(entity_tokens(entities).filter("entity is not null"))
     bits = bloom.merged_filter(tokens, "code", bloom.log_bits_for(tokens.count()), "seen")
     shared = records.sparkSession.sparkContext.broadcast(bits)
-    rows = records.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(text_column).cast("string").alias("text"))
+    rows = records.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(text_column).cast("string").alias("text")).filter("record_id is not null")
     # id, digest and the few words that may be names: a small part of the input
     marked = durable(rows.mapInArrow(_scan(shared), "record_id bigint, key binary, tokens array<string>"))
 
@@ -177,11 +180,15 @@ def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[
     ``groups`` has (record_id, group_id, size) of every record, as from
     ``record_groups``; ``targets`` has (split, share).
     """
+    if not targets:
+        raise ValueError("no split to assign to")
     names = [name for name, _ in targets]
     shares = np.array([max(0.0, share or 0.0) for _, share in targets])
-    shares = shares / shares.sum()
+    shares = shares / shares.sum() if shares.sum() else np.full(len(names), 1 / len(names))
     labelled = records.select(F.col(id_column).cast("bigint").alias("record_id"), F.coalesce(F.trim(F.col(label_column).cast("string")), F.lit("")).alias("label"))
-    rows = durable(groups.join(labelled, "record_id"))
+    # one row per id, whatever is repeated
+    labelled = labelled.groupBy("record_id").agg(F.min("label").alias("label"))
+    rows = durable(groups.groupBy("record_id").agg(F.min("group_id").alias("group_id")).join(labelled, "record_id"))
     counts = rows.groupBy("group_id", "label").agg(F.count("*").alias("n"))
     vectors = durable(counts.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector"), F.sum("n").alias("size")))
     per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).toLocalIterator()}

@@ -12,8 +12,9 @@ ranked inside, so a stratum that holds a third of all rows is no hot task.
 
 Defined results: labels are compared without case and outer blanks; repeated
 rows count and may be drawn; rows outside the targets are never drawn; a
-stratum without rows is reported with none; empty pools give an empty sample; a
-null or negative target counts as 0.
+stratum without rows (or with a null label) is reported with none; a stratum
+listed twice is one; empty pools give an empty sample; a null or negative target
+counts as 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def allocate(strata: list[dict], size: int) -> dict[tuple, int]:
     least = {(s["_c"], s["_t"]): min(s["available"], max(0, s["min_rows"] or 0)) for s in strata}
     take = {k: min(have[k], max(least[k], size * share[k])) for k in share}
     missing = sum(max(0.0, size * share[k] - have[k]) for k in share)
-    for parent in sorted({k[0] for k in share}):
+    for parent in sorted({k[0] for k in share}, key=str):
         # siblings first
         own = [k for k in share if k[0] == parent]
         lost = sum(max(0.0, size * share[k] - have[k]) for k in own)
@@ -87,7 +88,7 @@ def allocate(strata: list[dict], size: int) -> dict[tuple, int]:
             take[k] -= x
     whole = {k: math.floor(x + 1e-9) for k, x in take.items()}
     spare = min(size, round(sum(take.values()))) - sum(whole.values())
-    for k in sorted(take, key=lambda k: (whole[k] - take[k], k)):
+    for k in sorted(take, key=lambda k: (whole[k] - take[k], str(k))):
         if spare > 0 and whole[k] < have[k]:
             whole[k] += 1
             spare -= 1
@@ -112,7 +113,13 @@ def _drawn(keyed: DataFrame, quota: DataFrame) -> DataFrame:
 
 def quota_sample(pool: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 42, id_column: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """(sample with id, category, topic as in the targets; report per stratum)."""
-    strata = [r.asDict() for r in stratum_counts(pool, targets).toLocalIterator()]
+    merged: dict[tuple, dict] = {}
+    for s in (r.asDict() for r in stratum_counts(pool, targets).orderBy("category", "topic").toLocalIterator()):
+        # a stratum listed twice: its shares add up, its greater minimum holds
+        known = merged.setdefault((s["_c"], s["_t"]), s | {"target_share": 0.0, "min_rows": 0})
+        known["target_share"] += max(0.0, s["target_share"] or 0.0)
+        known["min_rows"] = max(known["min_rows"], s["min_rows"] or 0)
+    strata = list(merged.values())
     total = pool.count()
     size = math.floor(total * fraction + 1e-9)
     rows = allocate(strata, size)

@@ -1,0 +1,331 @@
+"""Operators of problems 3 to 7 against brute force and on awkward input."""
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomline.functions.keys import form_key, words
+from loomline.operators import bloom, canonical_map, form_duplicates, linked_split, quota_sample, split_overlap
+from loomline.operators.components import connected_components
+from loomline.session import table
+from tests.conftest import rows
+
+RECORDS = "record_id bigint, question string, category string, topic string, key string, group_id int, maybe string, entity string, text string, train string"
+
+
+def records(spark, data):
+    return spark.createDataFrame([(i, q, c, t, "k", 1, "m", "e", "t", "x") for i, q, c, t in data], RECORDS)
+
+
+LONG = "word " * 50_000 + "end"
+AWKWARD = [
+    (1, "What is a tree?", "A", "Pivot Tables"),
+    (2, "what is, a TREE", "B", " pivot_tables "),
+    (3, None, None, None),
+    (4, "", "", ""),
+    (5, "?!", "A", "???"),
+    (6, LONG, "A", LONG),
+    (7, LONG.upper(), None, "Tables, Pivot"),
+    (8, "About CS-0000001 and Ziklap", "B", "PT"),
+    (9, "the (ziklap) case", "A", "pvot tables"),
+    (10, "cs 0000001 again", "A", "origami"),
+    (11, "alone", "A", "Pivot Tab"),
+]
+CASES = [(1, "CS-0000001", "Stovad orchard"), (2, "CS-0000002", "Ziklap tram"), (3, None, None), (4, "CS-0000004", "Trees grow")]
+
+
+def cases(spark, data=CASES):
+    return spark.createDataFrame(data, "case_id bigint, case_code string, name string")
+
+
+# ---- bloom and problem 6 ----
+
+
+def test_bloom_has_no_false_negatives(spark):
+    rng = np.random.default_rng(1)
+    codes = rng.integers(-(2**62), 2**62, 5000)
+    twice = codes[:700]
+    df = spark.createDataFrame([(int(c),) for c in [*codes, *twice]] + [(None,)], "code bigint").repartition(5)
+    bits = bloom.merged_filter(df, "code", bloom.log_bits_for(5700), "repeated")
+    assert bloom.contains(bits, twice).all()
+    assert bloom.contains(bits, codes[700:]).mean() < 0.05
+    seen = bloom.merged_filter(df, "code", bloom.log_bits_for(5700), "seen")
+    assert bloom.contains(seen, codes).all()
+
+
+def test_bloom_of_nothing_is_empty(spark):
+    assert not bloom.merged_filter(spark.createDataFrame([], "code bigint"), "code", 15, "seen").any()
+
+
+def brute_forms(data):
+    held = defaultdict(list)
+    for i, q, *_ in data:
+        if form_key(q):
+            held[form_key(q)].append(i)
+    return held
+
+
+def test_form_groups_match_brute_force(spark, data):
+    df = table(spark, data, "merged_dataset")
+    held = brute_forms([tuple(r) for r in df.select("record_id", "question").collect()])
+    assert rows(form_duplicates.form_groups(df)) == sorted(((i, min(v)) for v in held.values() if len(v) > 1 for i in v), key=repr)
+    assert rows(form_duplicates.collapse_forms(df)) == sorted(((min(v), len(v)) for v in held.values()), key=repr)
+
+
+def test_form_groups_on_awkward_rows(spark):
+    df = records(spark, AWKWARD + AWKWARD[:1])
+    assert rows(form_duplicates.form_groups(df)) == [(1, 1), (1, 1), (2, 1), (6, 6), (7, 6)]
+    empty = records(spark, [])
+    assert rows(form_duplicates.form_groups(empty)) == rows(form_duplicates.collapse_forms(empty)) == []
+
+
+# ---- components and problem 3 ----
+
+
+def union_find(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return sorted((x, find(x)) for x in list(parent))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)] + [(7, 200 + i) for i in range(30)]
+    assert rows(connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))) == sorted(union_find(edges), key=repr)
+
+
+def test_components_of_nothing(spark):
+    assert rows(connected_components(spark.createDataFrame([], "a bigint, b bigint"))) == []
+
+
+def brute_groups(data, entities):
+    named = {}
+    for case, code, name in entities:
+        if words(name):
+            named[words(name)[0]] = case
+        if code:
+            named[code[-7:]] = case
+    edges = []
+    for i, q, *_ in data:
+        edges.append((("r", i), ("r", i)))
+        if form_key(q):
+            edges.append((("r", i), ("k", form_key(q))))
+        edges += [(("r", i), ("c", named[w])) for w in linked_split.name_candidates(q) if w in named]
+    group = dict(union_find(edges))
+    held = defaultdict(list)
+    for i, *_ in data:
+        held[group[("r", i)]].append(i)
+    return sorted(((i, min(v)) for v in held.values() if len(v) > 1 for i in v), key=repr)
+
+
+def test_linked_records_match_brute_force(spark, data):
+    df, entities = table(spark, data, "merged_dataset"), table(spark, data, "case_studies")
+    expected = brute_groups([tuple(r) for r in df.select("record_id", "question").collect()], [tuple(r) for r in entities.collect()])
+    assert expected and rows(linked_split.linked_records(df, entities)) == expected
+
+
+def test_linked_records_on_awkward_rows(spark):
+    got = rows(linked_split.linked_records(records(spark, AWKWARD), cases(spark)))
+    assert got == [(1, 1), (10, 8), (2, 1), (6, 6), (7, 6), (8, 8), (9, 8)]
+    assert rows(linked_split.linked_records(records(spark, []), cases(spark))) == []
+    assert rows(linked_split.linked_records(records(spark, AWKWARD), cases(spark, []))) == [(1, 1), (2, 1), (6, 6), (7, 6)]
+
+
+TARGETS = [("train", 0.9), ("validation", 0.05), ("test", 0.05)]
+
+
+def test_split_keeps_groups_and_shares(spark):
+    df, entities = table(spark, "/root/testdata/sf0.01", "merged_dataset"), table(spark, "/root/testdata/sf0.01", "case_studies")
+    assigned = linked_split.stratified_group_split(linked_split.record_groups(df, entities), df, TARGETS).collect()
+    assert len(assigned) == df.count() == len({r["record_id"] for r in assigned})
+    assert max(Counter(g for g, _ in {(r["group_id"], r["split"]) for r in assigned}).values()) == 1
+    share = Counter(r["split"] for r in assigned)
+    assert all(abs(share[s] / len(assigned) - t) < 0.01 for s, t in TARGETS)
+    labels = Counter(r["label"] for r in assigned)
+    test = Counter(r["label"] for r in assigned if r["split"] == "test")
+    assert all(abs(test[x] / n - 0.05) < 0.04 for x, n in labels.items() if n > 100)
+
+
+def test_split_on_awkward_rows(spark):
+    df = records(spark, AWKWARD + [AWKWARD[0]])
+    assigned = rows(linked_split.stratified_group_split(linked_split.record_groups(df, cases(spark)), df, TARGETS), "record_id", "split")
+    assert len(assigned) == len(AWKWARD)
+    empty = records(spark, [])
+    assert rows(linked_split.stratified_group_split(linked_split.record_groups(empty, cases(spark)), empty, TARGETS)) == []
+
+
+def test_hot_group_leaves_the_others_in_proportion(spark):
+    # one group of a third of all rows, many small ones
+    data = [(i, f"about cs0000001 number {i}", "A", "t") for i in range(500)] + [(1000 + i, f"question {i}", "AB"[i % 2], "t") for i in range(1000)]
+    df = records(spark, data)
+    assigned = linked_split.stratified_group_split(linked_split.record_groups(df, cases(spark)), df, TARGETS).collect()
+    share = Counter(r["split"] for r in assigned)
+    assert abs(share["test"] - 75) <= 2 and abs(share["validation"] - 75) <= 2
+
+
+def test_rarest_label_is_placed_first():
+    vectors = [(i, {"common": 1}) for i in range(80)] + [(100 + i, {"rare": 1, "common": 1}) for i in range(20)]
+    wanted = np.outer([0.8, 0.2], [100.0, 20.0])
+    placed = linked_split.place(vectors, wanted, ["common", "rare"])
+    assert sum(placed[100 + i] for i in range(20)) == 4 and sum(placed.values()) == 20
+
+
+# ---- problem 4 ----
+
+
+def brute_overlaps(train, evaluation):
+    found = set()
+    for a, x in train:
+        for b, y in evaluation:
+            s, t = set(words(x)), set(words(y))
+            if (form_key(x) and form_key(x) == form_key(y)) or (s | t and 4 * len(s & t) >= 3 * len(s | t)):
+                found.add((a, b))
+    return sorted(found, key=repr)
+
+
+def frame(spark, data):
+    return spark.createDataFrame([(i, q, "w", "k", True) for i, q in data], "record_id bigint, question string, words string, key string, train boolean")
+
+
+def test_overlaps_match_brute_force(spark, data):
+    splits, validation = table(spark, data, "splits"), table(spark, data, "validation")
+    train = [tuple(r) for r in splits.filter("split = 'train'").select("record_id", "question").collect()]
+    evaluation = [tuple(r) for r in splits.filter("split = 'test'").select("record_id", "question").union(validation.select("record_id", "question")).collect()]
+    got = rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
+    assert got and got == brute_overlaps(train, evaluation)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=14), min_size=1, max_size=8), st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=14), min_size=1, max_size=8))
+def test_passages_lose_no_partner(left, right):
+    import pandas as pd
+
+    from loomline.functions.keys import key_digest, word_code
+
+    def side(texts, prefix):
+        return pd.DataFrame({f"{prefix}text": [str(i).encode() for i in range(len(texts))], f"{prefix}key": [key_digest(form_key(" ".join(t))) for t in texts], f"{prefix}words": [np.array([word_code(w) for w in sorted(set(t))]) for t in texts]})
+
+    got = sorted({(int(a), int(b)) for a, b, *_ in split_overlap.scan_block(side(left, ""), side(right, "eval_"), {word_code("a"): 9, word_code("b"): 5})})
+    assert got == sorted(brute_overlaps(list(enumerate(" ".join(t) for t in left)), list(enumerate(" ".join(t) for t in right))))
+
+
+def test_overlaps_on_awkward_rows(spark):
+    train = [(1, "data set of trees"), (2, None), (3, ""), (4, "?!"), (5, LONG), (6, "one two three four"), (6, "one two three four")]
+    evaluation = [(11, "Dataset of trees!"), (12, None), (13, "_"), (14, LONG + " more"), (15, "four three two"), (16, "one")]
+    got = rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
+    # LONG has two distinct words, with "more" three: 2/3 is too little
+    assert got == [(1, 11), (6, 15), (6, 15)]
+    assert rows(split_overlap.cross_split_overlaps(frame(spark, []), frame(spark, evaluation))) == []
+    assert rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, []))) == []
+
+
+def test_overlap_report_counts_every_evaluation_row(spark):
+    evaluation = spark.createDataFrame([(11, "test", "s"), (12, "test", None), (13, "validation", "s")], "record_id bigint, split string, source string")
+    pairs = spark.createDataFrame([(1, 11, 1.0, 1.0), (2, 11, 1.0, 0.8)], "train_id bigint, eval_id bigint, coverage double, similarity double")
+    assert rows(split_overlap.overlap_report(pairs, evaluation)) == [("test", "", 1, 0, 0), ("test", "s", 1, 1, 2), ("validation", "s", 1, 0, 0)]
+
+
+# ---- problem 5 ----
+
+POOL = "row_id bigint, category string, topic string, quota string, _b string"
+
+
+def pool(spark, counts):
+    data, i = [], 0
+    for (c, t), n in counts.items():
+        for _ in range(n):
+            data.append((i, c, t, "q", "b"))
+            i += 1
+    return spark.createDataFrame(data, POOL)
+
+
+def targets(spark, data):
+    return spark.createDataFrame(data, "category string, topic string, target_share double, min_rows int")
+
+
+def test_short_stratum_passes_quota_to_siblings_then_cousins(spark):
+    df = pool(spark, {("A", "x"): 5, (" a", "Y\t"): 300, ("B", "z"): 300, ("C", None): 400, ("o", "ther"): 395})
+    goal = targets(spark, [("A", "x", 0.2, 5), ("A", "y", 0.3, 5), ("B", "z", 0.5, 5)])
+    sample, report = quota_sample.quota_sample(df, goal, 0.2)
+    drawn = Counter((r["category"], r["topic"]) for r in sample.collect())
+    # 280 rows: 56 due from x, which has 5; 51 go to its sibling
+    assert drawn == {("A", "x"): 5, ("A", "y"): 135, ("B", "z"): 140}
+    assert {(r["topic"], r["drawn"], r["short"]) for r in report.collect()} == {("x", 5, True), ("y", 135, False), ("z", 140, False)}
+    assert rows(quota_sample.unreachable_strata(df, goal)) == [("A", "x")]
+
+
+def test_cousins_take_what_a_category_cannot_give(spark):
+    df = pool(spark, {("A", "x"): 5, ("B", "z"): 995})
+    drawn = Counter(r["topic"] for r in quota_sample.quota_sample(df, targets(spark, [("A", "x", 0.5, 1), ("B", "z", 0.5, 1)]), 0.2)[0].collect())
+    assert drawn == {"x": 5, "z": 195}
+
+
+def test_sample_on_awkward_tables(spark):
+    goal = targets(spark, [("A", "x", 0.5, 3), ("a ", "X", 0.2, 4), (None, "x", 0.1, 1), ("B", None, None, None), ("C", "none", 0.2, 2)])
+    df = pool(spark, {("A", "x"): 10, (None, None): 3, ("", ""): 2})
+    sample, report = quota_sample.quota_sample(df, goal, 0.4)
+    assert len({r["row_id"] for r in sample.collect()}) == sample.count() == 6 and report.count() == 4
+    empty = spark.createDataFrame([], POOL)
+    assert quota_sample.quota_sample(empty, goal)[0].count() == 0
+    assert quota_sample.unreachable_strata(empty, goal).count() == 0
+
+
+def test_sample_is_a_permutation_prefix(spark):
+    df = pool(spark, {("A", "x"): 3000})
+    a = {r["row_id"] for r in quota_sample.quota_sample(df, targets(spark, [("A", "x", 1.0, 1)]), 0.2)[0].collect()}
+    b = {r["row_id"] for r in quota_sample.quota_sample(df.repartition(7), targets(spark, [("A", "x", 1.0, 1)]), 0.2)[0].collect()}
+    assert a == b and len(a) == 600 and 1200 < sum(a) / len(a) < 1800
+
+
+# ---- problem 7 ----
+
+REFERENCE = [(1, "Pivot Tables", "PT", "X"), (2, "Random Forests", None, "X"), (3, "Part of Speech Tagging", "POS", "X"), (4, None, None, None), (None, "Nothing", None, "X")]
+
+
+def reference(spark, data=REFERENCE):
+    return spark.createDataFrame(data, "topic_id int, topic string, short_form string, category string")
+
+
+def test_mapping_on_awkward_rows(spark):
+    df = records(spark, AWKWARD + AWKWARD[-1:])
+    expected = [(10, 0), (11, 1), (11, 1), (2, 1), (5, 0), (6, 0), (7, 1), (8, 1), (9, 1)]
+    assert rows(canonical_map.map_to_reference(df, reference(spark))) == expected
+    # the same through shards of one entry
+    assert rows(canonical_map.map_to_reference(df, reference(spark), max_broadcast=1)) == expected
+    assert {t for _, t in rows(canonical_map.map_to_reference(df, reference(spark, [])))} == {0}
+    assert rows(canonical_map.map_to_reference(records(spark, []), reference(spark))) == []
+    unmatched = canonical_map.unmatched_values(df, canonical_map.map_to_reference(df, reference(spark)))
+    assert {r["value"] for r in unmatched.collect()} == {"???", "origami", LONG}
+
+
+@pytest.mark.parametrize("value, topic", [("part of speech tagging", 3), ("Tagging, Part of Speech", 3), ("intro to Pivot Tables", 1), ("Pivot Tables - part 2", 1), ("P.O.S.", 3), ("pos basics", 3), ("forests random", 2), ("Rnadom Froests", 2), ("Random For.", 2), ("random gardens", 0), ("picnic tables today", 0)])
+def test_forms_of_a_topic(value, topic):
+    entries = [(i, t, s) for i, t, s, _ in REFERENCE if i and t]
+    assert canonical_map.Matcher(entries).match([value])[0][1] == topic
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abcde", min_size=1, max_size=9), min_size=1, max_size=12, unique=True), st.lists(st.text("abcdef", max_size=10), min_size=1, max_size=6))
+def test_bk_tree_returns_everything_within_the_threshold(entries, values):
+    tree = canonical_map.BKTree([(t, i) for i, t in enumerate(entries)])
+    for value, found in zip(values, tree.within(values, lambda n: 2)):
+        assert sorted(found) == sorted((canonical_map.levenshtein(value, t), i) for i, t in enumerate(entries) if canonical_map.levenshtein(value, t) <= 2)
+
+
+def test_long_entries_use_the_plain_programme():
+    tree = canonical_map.BKTree([("a" * 64, 1), ("b" * 70, 2)])
+    assert tree.within(["a" * 63 + "x", "b" * 69], lambda n: 2) == [[(1, 1)], [(1, 2)]]
