@@ -10,7 +10,9 @@ ranked, so a source that holds a third of all documents is no hot task.
 
 Defined results: null sources and sources without weight are never drawn; a
 null or negative target counts as 0; null or empty texts have 0 tokens and are
-not repeated; equal keys are ordered by id; empty tables give an empty mix.
+not repeated; equal keys are ordered by id; a source listed twice is one with
+the sum of its shares; repeated documents are drawn each; empty tables give an
+empty mix; other columns are not read.
 ``source_weights`` is a small fixed table and its size is checked before use.
 """
 
@@ -43,7 +45,8 @@ def source_budgets(counted: DataFrame, weights: DataFrame) -> DataFrame:
     """
     have = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    small = weights.select("source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
+    share, repeats = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
+    small = weights.filter("source is not null").groupBy("source").agg(F.sum(share).alias("target_share"), F.max(repeats).alias("max_repeats"))
     if small.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} weighted sources")
     joined = small.join(have, "source", "left").crossJoin(F.broadcast(total))
@@ -85,5 +88,5 @@ def mix_report(mix: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, target_share, share, documents, tokens, most_repeats) of the mix."""
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     total = used.agg(F.sum("tokens").alias("total"))
-    joined = weights.select("source", "target_share").join(used, "source", "left").crossJoin(F.broadcast(total))
+    joined = weights.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share")).join(used, "source", "left").crossJoin(F.broadcast(total))
     return joined.select("source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
