@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,6 +81,16 @@ def minimal(keywords: list[str]) -> list[str]:
     return [k for k in once if not any(o != k and o in k for o in once)]
 
 
+def keyword_table(lines: list[str]) -> dict[str, list[str]]:
+    """Keyword table of a classifier from JSON lines ``{"category": ..., "keywords": [...]}``; order counts."""
+    table: dict[str, list[str]] = {}
+    for line in lines:
+        if line.strip():
+            entry = json.loads(line)
+            table.setdefault(entry["category"], []).extend(" ".join(k.lower().split()) for k in entry["keywords"])
+    return table
+
+
 def ordered_category(first: Column, second: Column, table: dict[str, list[str]], default: str = "Other") -> Column:
     """First category with a keyword in ``first``; failing that, in ``second``; else the default."""
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.order import row_numbers
+
 MAX_LENGTH = 512
 IGNORED = -100
 
@@ -51,16 +53,9 @@ def contract_violations(examples: DataFrame) -> DataFrame:
 
 
 def batched(examples: DataFrame, batch_size: int = 4) -> DataFrame:
-    """Adds ``batch_id``: consecutive row ids, ``batch_size`` at a time.
-
-    Global positions come from range partitions and their counts, so no task
-    sees all rows.
-    """
-    ranged = examples.repartitionByRange("rid").withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("rid")))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("batch_id", F.floor((F.col("_before") + F.col("_at") - 1) / batch_size)).drop("_part", "_at", "_before")
+    """Adds ``batch_id``: consecutive row ids, ``batch_size`` at a time. Row ids are unique."""
+    numbers = row_numbers(examples, "rid", [F.col("rid")])
+    return examples.join(numbers, "rid").withColumn("batch_id", F.floor((F.col("number") - 1) / batch_size)).drop("number")
 
 
 def padded(batches: DataFrame, pad_id: int = 0) -> DataFrame:
@@ -128,6 +123,12 @@ def weighted_loss(losses: DataFrame) -> DataFrame:
     return means.select(F.round("weighted", 6).alias("weighted_loss"), F.round("plain", 6).alias("mean_loss"), "tokens", F.when(F.col("weighted") < 50, F.round(F.exp("weighted"), 4)).alias("perplexity"))
 
 
+def run_counters(examples: DataFrame) -> DataFrame:
+    """One row: examples, truncated ones, tokens, trained tokens, examples without any."""
+    n, trained = F.size("input_ids"), F.size(F.filter("labels", lambda x: x != IGNORED))
+    return examples.agg(F.count("*").alias("examples"), F.count_if(F.col("truncated")).alias("truncated"), F.coalesce(F.sum(n), F.lit(0)).alias("tokens"), F.coalesce(F.sum(trained), F.lit(0)).alias("trained"), F.count_if(trained == 0).alias("untrained"))
+
+
 def trained_positions(labels: str = "labels") -> Column:
     """Labels that count after the shift by one."""
     return F.size(F.filter(F.slice(labels, 2, 1 << 30), lambda x: x != IGNORED))

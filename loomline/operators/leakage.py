@@ -24,6 +24,15 @@ def overlap_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return keyed(right).join(have, "key").select(F.col("rid").alias("right_id"), "left_copies", "first_left_id")
 
 
+def overlap_lists(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(right_id, left_ids) with all left ids of the key listed, as a report wants them.
+
+    Lists grow with the copies of a key; ``overlap_rows`` gives counts instead.
+    """
+    have = keyed(left).groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("left_ids"))
+    return keyed(right).join(have, "key").select(F.col("rid").alias("right_id"), "left_ids")
+
+
 def shared_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key) that both sides have."""
     return keyed(left).select("key").intersect(keyed(right).select("key"))

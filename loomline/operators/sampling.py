@@ -67,6 +67,13 @@ def stratified_split(df: DataFrame, id_column: str = "record_id", category: str
     return ranks.select("rid", "category", "level", split.alias("split"))
 
 
+def check_ratios(ratios: dict[str, float], tolerance: float = 1e-6) -> dict[str, float]:
+    """The ratios, if none is negative and they sum to one; else an error."""
+    if any(r < 0 for r in ratios.values()) or abs(sum(ratios.values()) - 1) > tolerance:
+        raise ValueError(f"split ratios must sum to 1: {ratios}")
+    return ratios
+
+
 def split_targets(total: Column) -> tuple[Column, Column, Column]:
     """Rows wanted in train, validation and test: 90 %, 5 % (half to even), the rest."""
     train, validation = F.bround(total * 0.9).cast("bigint"), F.bround(total * 0.05).cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import classify
 from loomline.functions.text import clean_text, key_marks_to_blanks, key_trimmed, key_with_marks, key_without_marks, or_default
 from loomline.operators import dedup, leakage, profile, sampling
+from loomline.operators.order import row_numbers
 from loomline.session import table
 
 QUERIES: dict = {}
@@ -170,11 +171,8 @@ def input_validation(spark, d):
 
 @query("""SELECT record_id, row_number() OVER (ORDER BY record_id) AS position, left(question, 150) AS head FROM validation""")
 def row_positions(spark, d):
-    rows = table(spark, d, "validation").select(F.col("record_id").alias("rid"), "question")
-    from loomline.operators.examples import batched
-
-    # position = batch number of batches of one row
-    return batched(rows, 1).select(F.col("rid").alias("record_id"), (F.col("batch_id") + 1).alias("position"), F.substring("question", 1, 150).alias("head"))
+    rows = table(spark, d, "validation").select("record_id", F.substring("question", 1, 150).alias("head"))
+    return rows.join(row_numbers(rows, "record_id", [F.col("record_id")]), "record_id").select("record_id", F.col("number").alias("position"), "head")
 
 
 # ---- classifiers ----------------------------------------------------------
@@ -428,6 +426,12 @@ def exact_overlap_rows(spark, d):
     return leakage.overlap_rows(p["train"], p["validation"])
 
 
+@query(_PARTS + ", l AS (SELECT k, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS left_ids FROM p WHERE part = 'train' GROUP BY k) SELECT record_id AS right_id, left_ids FROM p JOIN l USING (k) WHERE part = 'test'")
+def exact_overlap_lists(spark, d):
+    p = parts(spark, d)
+    return leakage.overlap_lists(p["train"], p["test"]).select("right_id", F.array_join("left_ids", ",").alias("left_ids"))
+
+
 @query(_PARTS + "SELECT k AS key FROM p WHERE part = 'train' INTERSECT SELECT k FROM p WHERE part = 'test'")
 def overlap_intersect(spark, d):
     p = parts(spark, d)

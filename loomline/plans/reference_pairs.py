@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.text import clean_text, key_with_marks
-from loomline.operators import dedup, examples, groups, sampling, similarity
+from loomline.operators import dedup, examples, groups, leakage, sampling, similarity
 from loomline.plans.reference_core import merged, parts, sql_clean, sql_default, sql_n3
 from loomline.session import table
 
@@ -90,6 +90,30 @@ def threshold_counts(spark, d):
     return similarity.threshold_counts(similarity.cross_pairs(p["train"], p["test"], 0.9, least=20))
 
 
+def _audit_sql() -> str:
+    sides = {"train": _TRAIN, "validation": "validation", "test": _TEST}
+    names, rows = list(sides), []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            counts = ", ".join(f"count(*) FILTER (similarity >= {t} - 1e-9) AS near_{round(100 * t)}" for t in (0.98, 0.95, 0.90))
+            exact = f"(SELECT count(*) FROM (SELECT {sql_n3('question')} AS k FROM {sides[a]} INTERSECT SELECT {sql_n3('question')} FROM {sides[b]}) WHERE k <> '')"
+            rows.append(f"SELECT '{a}' AS left_part, '{b}' AS right_part, {exact} AS exact_keys, near.* FROM ({_cross_sql(sides[a], sides[b], 0.9, 20)} SELECT {counts} FROM pairs) near")
+    return "SELECT *, exact_keys + near_90 = 0 AS passed FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@query(_audit_sql())
+def leakage_audit(spark, d):
+    p, result = parts(spark, d), None
+    names = list(p)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            near = similarity.cross_pairs(p[a], p[b], 0.9, least=20).agg(*(F.count_if(F.col("similarity") >= t - similarity.EPSILON).alias(f"near_{round(100 * t)}") for t in (0.98, 0.95, 0.90)))
+            row = near.select(F.lit(a).alias("left_part"), F.lit(b).alias("right_part"), "*")
+            result = row if result is None else result.unionByName(row)
+    exact = leakage.overlap_summary(p).withColumnRenamed("keys", "exact_keys")
+    return result.join(exact, ["left_part", "right_part"]).withColumn("passed", F.col("exact_keys") + F.col("near_90") == 0)
+
+
 # ---- groups -----------------------------------------------------------------
 
 
@@ -138,6 +162,11 @@ def group_profile(spark, d):
     return groups.group_profile(labelled(spark, d))
 
 
+@query(_MEMBERS + ", s AS (SELECT group_id, count(*) AS size FROM m GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, group_id) AS number, group_id, size FROM s")
+def numbered_groups(spark, d):
+    return groups.numbered(exact_membership(merged(spark, d)))
+
+
 @query(_MEMBERS + "SELECT category, count(*) AS groups FROM dc GROUP BY category")
 def group_dominant(spark, d):
     return groups.dominant(labelled(spark, d), "category").groupBy("category").agg(F.count("*").alias("groups"))
@@ -209,6 +238,11 @@ def token_contract(spark, d):
     return examples.contract_violations(_examples(spark, d))
 
 
+@query(_TOKENS + "SELECT count(*) AS examples, count(*) FILTER (n >= 512) AS truncated, sum(n) AS tokens, sum(n - hidden) AS trained, count(*) FILTER (n = hidden) AS untrained FROM y")
+def tokenize_counters(spark, d):
+    return examples.run_counters(_examples(spark, d))
+
+
 _BATCHES = _TOKENS + ", b AS (SELECT *, (row_number() OVER (ORDER BY rid) - 1) // 4 AS batch_id FROM y), w AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS longest FROM b)"
 
 

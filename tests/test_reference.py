@@ -268,3 +268,12 @@ def test_core_does_not_import_llm():
         if "/llm/" not in path:
             with open(path, encoding="utf-8") as file:
                 assert "loomline.llm" not in file.read()
+
+
+def test_ratios_and_keyword_tables():
+    assert sampling.check_ratios({"train": 0.9, "test": 0.1})
+    for bad in ({"train": 0.9}, {"train": 1.5, "test": -0.5}):
+        with pytest.raises(ValueError):
+            sampling.check_ratios(bad)
+    table_ = classify.keyword_table(['{"category": "B", "keywords": ["Deep  Net"]}', "", '{"category": "A", "keywords": ["x"]}', '{"category": "B", "keywords": ["y"]}'])
+    assert list(table_.items()) == [("B", ["deep net", "y"]), ("A", ["x"])]
