@@ -73,7 +73,7 @@ _REASON = f"CASE WHEN {Q} = '' THEN 'missing question' WHEN {A} = '' THEN 'missi
 @query(f"""
 WITH c AS (SELECT doc_id, coalesce(lower(lang), '') AS lang, {sql_clean('text')} AS text, {sql_n1('text')} AS k FROM documents),
      w AS (SELECT k, min(doc_id) AS doc_id FROM c WHERE length(text) >= 30 AND k <> '' GROUP BY k)
-SELECT lang, count(*) AS records, sum(length(text)) AS characters FROM c JOIN w USING (doc_id) GROUP BY lang
+SELECT lang, count(*) AS records, sum(length(text))::BIGINT AS characters FROM c JOIN w USING (doc_id) GROUP BY lang
 """)
 def clean_dedup(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), clean_text("text").alias("text"), key_without_marks("text").alias("key")).filter(F.length("text") >= 30)
@@ -112,7 +112,7 @@ def dedup_n2(spark, d):
 @query(f"""
 WITH k AS (SELECT {sql_n2('question')} AS key, coalesce(source, '') AS source FROM merged_dataset),
      g AS (SELECT key, count(*) AS n, count(DISTINCT source) AS s FROM k WHERE key <> '' GROUP BY key)
-SELECT count(*) AS unique_keys, count(*) FILTER (n > 1) AS repeated_keys, coalesce(sum(n - 1), 0) AS surplus_rows, count(*) FILTER (s > 1) AS keys_in_sources FROM g
+SELECT count(*) AS unique_keys, count(*) FILTER (n > 1) AS repeated_keys, coalesce(sum(n - 1), 0)::BIGINT AS surplus_rows, count(*) FILTER (s > 1) AS keys_in_sources FROM g
 """)
 def dup_stats(spark, d):
     return dedup.duplicate_stats(merged(spark, d), key_marks_to_blanks("question"))
@@ -312,7 +312,7 @@ def length_profile(spark, d):
     return profile.length_profile(merged(spark, d))
 
 
-@query(f"SELECT round(avg(length({A})), 4) AS mean_length, min(length({A})) AS min_length, max(length({A})) AS max_length FROM merged_dataset")
+@query(f"SELECT round(avg(length({A})), 4) AS mean_length, min(length({A}))::INT AS min_length, max(length({A}))::INT AS max_length FROM merged_dataset")
 def length_stats(spark, d):
     return profile.length_stats(merged(spark, d), "answer")
 
@@ -391,7 +391,7 @@ def split_distribution(spark, d):
     return profile.distribution_within(sampling.stratified_split(merged(spark, d)), "split", F.col("category"))
 
 
-@query("SELECT count(*) AS total, count(*) AS assigned, 0 AS assigned_twice, 0 AS divided_groups, true AS holds FROM merged_dataset")
+@query("SELECT count(*) AS total, count(*) AS assigned, 0::BIGINT AS assigned_twice, 0::BIGINT AS divided_groups, true AS holds FROM merged_dataset")
 def split_invariants(spark, d):
     records = merged(spark, d)
     return sampling.split_invariants(records, sampling.stratified_split(records), "record_id")

@@ -78,7 +78,7 @@ def cross_pairs_085_top50(spark, d):
     return pairs.orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(50).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
-@query(_cross_sql(_TRAIN, "validation", 0.9, 20) + ", r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(similarity, 9) DESC, a) AS rank FROM pairs) SELECT a, b, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 5")
+@query(_cross_sql(_TRAIN, "validation", 0.9, 20) + ", r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(similarity, 9) DESC, a)::INT AS rank FROM pairs) SELECT a, b, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 5")
 def cross_knn_train_validation(spark, d):
     p = parts(spark, d)
     return similarity.nearest(similarity.cross_pairs(p["train"], p["validation"], 0.9, least=20)).select("a", "b", F.round("similarity", 4).alias("similarity"), "rank")
@@ -187,7 +187,7 @@ def group_split_v3(spark, d):
     return groups.greedy_split(labelled(spark, d), groups.GREEDY_V3)
 
 
-@query("SELECT count(*) AS total, count(*) AS assigned, 0 AS assigned_twice, 0 AS divided_groups, true AS holds FROM merged_dataset")
+@query("SELECT count(*) AS total, count(*) AS assigned, 0::BIGINT AS assigned_twice, 0::BIGINT AS divided_groups, true AS holds FROM merged_dataset")
 def group_split_invariants(spark, d):
     return sampling.split_invariants(merged(spark, d), groups.group_stratified_split(labelled(spark, d)), "record_id", F.col("group_id"))
 
@@ -226,7 +226,7 @@ def chat_render(spark, d):
     return merged(spark, d).select(F.col("record_id").alias("rid"), F.md5(full).alias("conversation"), F.md5(prompt).alias("prompt"))
 
 
-@query(_TOKENS + "SELECT rid, n AS tokens, hidden AS ignored, n >= 512 AS truncated, list_sum(ids)::BIGINT AS id_sum FROM y")
+@query(_TOKENS + "SELECT rid, n::INT AS tokens, hidden::INT AS ignored, n >= 512 AS truncated, list_sum(ids)::BIGINT AS id_sum FROM y")
 def tokenize_mask(spark, d):
     rows = _examples(spark, d)
     ignored = F.size(F.filter("labels", lambda x: x == examples.IGNORED))
@@ -238,7 +238,7 @@ def token_contract(spark, d):
     return examples.contract_violations(_examples(spark, d))
 
 
-@query(_TOKENS + "SELECT count(*) AS examples, count(*) FILTER (n >= 512) AS truncated, sum(n) AS tokens, sum(n - hidden) AS trained, count(*) FILTER (n = hidden) AS untrained FROM y")
+@query(_TOKENS + "SELECT count(*) AS examples, count(*) FILTER (n >= 512) AS truncated, sum(n)::BIGINT AS tokens, sum(n - hidden)::BIGINT AS trained, count(*) FILTER (n = hidden) AS untrained FROM y")
 def tokenize_counters(spark, d):
     return examples.run_counters(_examples(spark, d))
 
@@ -246,13 +246,13 @@ def tokenize_counters(spark, d):
 _BATCHES = _TOKENS + ", b AS (SELECT *, (row_number() OVER (ORDER BY rid) - 1) // 4 AS batch_id FROM y), w AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS longest FROM b)"
 
 
-@query(_BATCHES + "SELECT rid, batch_id, longest AS width, longest - n AS filled FROM w")
+@query(_BATCHES + "SELECT rid, batch_id, longest::INT AS width, (longest - n)::INT AS filled FROM w")
 def pad_batches(spark, d):
     rows = examples.padded(examples.batched(_examples(spark, d)))
     return rows.select("rid", "batch_id", F.size("input_ids").alias("width"), F.size(F.filter("attention_mask", lambda x: x == 0)).alias("filled"))
 
 
-@query(_BATCHES + "SELECT batch_id, sum(n) AS real, sum(longest - n) AS padding, sum(hidden + longest - n) AS ignored, sum(n - hidden) AS trainable FROM w GROUP BY batch_id")
+@query(_BATCHES + "SELECT batch_id, sum(n)::BIGINT AS real, sum(longest - n)::BIGINT AS padding, sum(hidden + longest - n)::BIGINT AS ignored, sum(n - hidden)::BIGINT AS trainable FROM w GROUP BY batch_id")
 def batch_inspection(spark, d):
     return examples.batch_inspection(examples.padded(examples.batched(_examples(spark, d))))
 
@@ -267,7 +267,7 @@ def _lengths(spark: SparkSession, d: str) -> DataFrame:
     return merged(spark, d).select(F.col("record_id").alias("rid"), F.size(full).alias("n"))
 
 
-_N = f"WITH y AS (SELECT record_id AS rid, len(list_filter(string_split({_FULL}, ' '), lambda w: w <> '')) AS n FROM merged_dataset), s AS (SELECT list(n ORDER BY n) AS v, count(*) AS c FROM y)"
+_N = f"WITH y AS (SELECT record_id AS rid, len(list_filter(string_split({_FULL}, ' '), lambda w: w <> ''))::INT AS n FROM merged_dataset), s AS (SELECT list(n ORDER BY n) AS v, count(*) AS c FROM y)"
 
 
 @query(_N + """SELECT c AS n, v[1] AS least, v[-1] AS greatest, round(list_sum(v) / c, 4) AS mean, (v[(c + 1) // 2] + v[(c + 2) // 2]) / 2.0 AS median,
@@ -287,7 +287,7 @@ def longest_under_cap(spark, d):
 
 
 @query(_TOKENS + f""", z AS (SELECT y.rid, greatest(n - greatest(hidden, 1), 0) AS tokens, 1 + length({sql_clean('m.answer')}) / 1000.0 AS loss FROM y JOIN merged_dataset m ON m.record_id = y.rid),
- a AS (SELECT sum(loss * tokens) / sum(tokens) AS w, avg(loss) AS p, sum(tokens) AS tokens FROM z WHERE tokens > 0)
+ a AS (SELECT sum(loss * tokens) / sum(tokens) AS w, avg(loss) AS p, sum(tokens)::BIGINT AS tokens FROM z WHERE tokens > 0)
 SELECT round(w, 6) AS weighted_loss, round(p, 6) AS mean_loss, tokens, CASE WHEN w < 50 THEN round(exp(w), 4) END AS perplexity FROM a""")
 def weighted_loss(spark, d):
     # stands for a model's loss per example; any (rid, loss, tokens) table will do
