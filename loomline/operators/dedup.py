@@ -67,10 +67,11 @@ def top_duplicates(df: DataFrame, key: Column, n: int = 20) -> DataFrame:
 
 
 def exact_groups(df: DataFrame, key: Column, id_column: str = "record_id") -> DataFrame:
-    """(group_id, size, members) of keys with two or more rows.
+    """(rid, group_id, size) of all rows whose key another row has.
 
-    Members are listed because the report asks for them; use ``first_wins``
-    where only the class is needed.
+    One row per member instead of lists: a key shared by a third of all rows
+    would make one list of them.
     """
-    keyed = df.select(key.alias("key"), F.col(id_column).alias("rid")).filter("key <> ''")
-    return keyed.groupBy("key").agg(F.min("rid").alias("group_id"), F.count("*").alias("size"), F.sort_array(F.collect_list("rid")).alias("members")).filter("size > 1").select("group_id", "size", "members")
+    keyed = df.select(key.alias("key"), F.col(id_column).alias("rid")).filter("key <> ''").select(F.md5("key").alias("key"), "rid")
+    groups = keyed.groupBy("key").agg(F.min("rid").alias("group_id"), F.count("*").alias("size")).filter("size > 1")
+    return keyed.join(groups, "key").select("rid", "group_id", "size")

@@ -14,8 +14,18 @@ def keyed(df: DataFrame, id_column: str = "record_id", question: str = "question
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) of all rows with equal keys, full multiplicity."""
-    return keyed(left).select("key", F.col("rid").alias("left_id")).join(keyed(right).select("key", F.col("rid").alias("right_id")), "key").select("left_id", "right_id")
+    """(left_id, right_id, left_copies, right_copies, pairs) per shared key.
+
+    The ids are the first of each side; ``pairs`` is how many pairs of rows the
+    class stands for. Copies are not expanded: one hot key on both sides would
+    make a square of them.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return keyed(df).groupBy("key").agg(F.min("rid").alias(f"{name}_id"), F.count("*").alias(f"{name}_copies"))
+
+    classes = side(left, "left").join(side(right, "right"), "key")
+    return classes.select("left_id", "right_id", "left_copies", "right_copies", (F.col("left_copies") * F.col("right_copies")).alias("pairs"))
 
 
 def overlap_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -24,15 +34,6 @@ def overlap_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return keyed(right).join(have, "key").select(F.col("rid").alias("right_id"), "left_copies", "first_left_id")
 
 
-def overlap_lists(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(right_id, left_ids) with all left ids of the key listed, as a report wants them.
-
-    Lists grow with the copies of a key; ``overlap_rows`` gives counts instead.
-    """
-    have = keyed(left).groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("left_ids"))
-    return keyed(right).join(have, "key").select(F.col("rid").alias("right_id"), "left_ids")
-
-
 def shared_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key) that both sides have."""
     return keyed(left).select("key").intersect(keyed(right).select("key"))

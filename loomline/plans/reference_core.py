@@ -414,7 +414,9 @@ WITH u AS (SELECT record_id, split AS part, {sql_n3('question')} AS k FROM split
 """
 
 
-@query(_PARTS + "SELECT a.record_id AS left_id, b.record_id AS right_id FROM p a JOIN p b ON a.k = b.k WHERE a.part = 'train' AND b.part = 'test'")
+@query(_PARTS + """, l AS (SELECT k, min(record_id) AS left_id, count(*) AS left_copies FROM p WHERE part = 'train' GROUP BY k),
+ r AS (SELECT k, min(record_id) AS right_id, count(*) AS right_copies FROM p WHERE part = 'test' GROUP BY k)
+SELECT left_id, right_id, left_copies, right_copies, left_copies * right_copies AS pairs FROM l JOIN r USING (k)""")
 def exact_overlap_pairs(spark, d):
     p = parts(spark, d)
     return leakage.overlap_pairs(p["train"], p["test"])
@@ -426,12 +428,6 @@ def exact_overlap_rows(spark, d):
     return leakage.overlap_rows(p["train"], p["validation"])
 
 
-@query(_PARTS + ", l AS (SELECT k, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS left_ids FROM p WHERE part = 'train' GROUP BY k) SELECT record_id AS right_id, left_ids FROM p JOIN l USING (k) WHERE part = 'test'")
-def exact_overlap_lists(spark, d):
-    p = parts(spark, d)
-    return leakage.overlap_lists(p["train"], p["test"]).select("right_id", F.array_join("left_ids", ",").alias("left_ids"))
-
-
 @query(_PARTS + "SELECT k AS key FROM p WHERE part = 'train' INTERSECT SELECT k FROM p WHERE part = 'test'")
 def overlap_intersect(spark, d):
     p = parts(spark, d)

@@ -117,9 +117,13 @@ def leakage_audit(spark, d):
 # ---- groups -----------------------------------------------------------------
 
 
-@query(f"SELECT min(record_id) AS group_id, count(*) AS size, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS members FROM merged_dataset WHERE {sql_n3('question')} <> '' GROUP BY {sql_n3('question')} HAVING count(*) > 1")
+@query(f"""
+WITH k AS (SELECT record_id AS rid, {sql_n3('question')} AS k FROM merged_dataset),
+ g AS (SELECT k, min(rid) AS group_id, count(*) AS size FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1)
+SELECT rid, group_id, size FROM k JOIN g USING (k)
+""")
 def exact_groups(spark, d):
-    return dedup.exact_groups(merged(spark, d), key_with_marks("question")).select("group_id", "size", F.array_join("members", ",").alias("members"))
+    return dedup.exact_groups(merged(spark, d), key_with_marks("question"))
 
 
 @query(_NEAR + f""", link AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
