@@ -3,10 +3,11 @@
 Evaluation questions are matched against all training questions by
 Aho-Corasick automata over sharded, normalised evaluation passages.
 
-* Normal form: the distinct words of a question in one global order, rare words
-  first, so that reordered sentences give the same form. In front stands one
-  symbol for the form key (letters and digits in order), by which exact copies
-  with other word borders are found too.
+* Normal form: the distinct words of a question in one global order, that of
+  their hashes, so that reordered sentences give the same form. (Hash order also
+  mixes frequent with rare words, so questions of one template share few
+  neighbours.) In front stand symbols for the form key (letters and digits in
+  order), by which exact copies with other word borders are found too.
 * Passages: an evaluation question of ``n`` words is cut into pairs of
   neighbouring words. A training question of ``m`` words within the threshold
   differs by at most ``d = (n + m) // 7`` words (threshold 3/4); each differing
@@ -47,8 +48,6 @@ from loomline.session import durable
 SHARED, OF = 3, 4
 EVAL_SHARD = 40_000
 TRAIN_BLOCK = 30_000
-#: Most words whose frequency takes part in the global order; the others count as rare.
-FREQUENT_WORDS = 20_000
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +63,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w not in codes:
                     codes[w] = word_code(w)
             keys.append(key_digest(key) if key else None)
-            sets.append([codes[w] for w in own])
+            sets.append(sorted({codes[w] for w in own}))
             texts.append(xxhash.xxh3_128_digest("\0".join([key, *own]).encode("utf-8", "surrogatepass")))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
@@ -88,25 +87,20 @@ def passages_needed(sizes: np.ndarray, cut: np.ndarray, m: int) -> np.ndarray:
     return np.where(possible, np.maximum(need, 1), 1 << 30)
 
 
-def _symbol(code: int) -> int:
-    return code & 0xFFFFFFFF
+def scan_block(train: pd.DataFrame, evals: pd.DataFrame) -> list[tuple[bytes, bytes, float, float]]:
+    """(training text, evaluation text, coverage, similarity) of all matches in one block and shard.
 
-
-def _ordered(codes, frequency: dict[int, int]) -> list[int]:
-    return sorted(codes, key=lambda c: (frequency.get(c, 0), c))
-
-
-def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, int]) -> list[tuple[bytes, bytes, float, float]]:
-    """(training text, evaluation text, coverage, similarity) of all matches in one block and shard."""
+    ``words`` are the sorted codes of distinct words.
+    """
     if not len(train) or not len(evals):
         return []
     found: dict[tuple, list[int]] = defaultdict(list)
     own, sizes, cut, keys = [], [], [], list(evals["eval_key"])
     for e, codes in enumerate(evals["eval_words"]):
-        form = _ordered([int(c) for c in codes], frequency)
+        form = codes.tolist()
         borders = passages(len(form))
         for a, b in borders:
-            found[tuple(_symbol(c) for c in form[a:b])].append(e)
+            found[tuple(c & 0xFFFFFFFF for c in form[a:b])].append(e)
         own.append(frozenset(form))
         sizes.append(len(form))
         cut.append(len(borders))
@@ -131,7 +125,7 @@ def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, in
     needed: dict[int, np.ndarray] = {}
     result = []
     for text, key, codes in zip(train["text"], train["key"], train["words"]):
-        form = _ordered(codes.tolist(), frequency)
+        form = codes.tolist()
         head = int.from_bytes(key[:8], "little") if key is not None else 0
         hits = [p for _, p in automaton.iter((0, head & 0xFFFFFFFF, head >> 32, *(c & 0xFFFFFFFF for c in form)))]
         if not hits:
@@ -162,8 +156,6 @@ def scan_block(train: pd.DataFrame, evals: pd.DataFrame, frequency: dict[int, in
 
 def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
     """(train_id, eval_id, coverage, similarity) of all overlapping pairs of records."""
-    spark = train.sparkSession
-
     def side(df: DataFrame, is_train: bool) -> DataFrame:
         return df.select(F.col(id_column).cast("bigint").alias("record_id"), F.lit(is_train).alias("train"), F.col(text_column).cast("string").alias("question"))
 
@@ -173,9 +165,6 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str
     classes = durable(forms.groupBy("train", "text").agg(F.first("key").alias("key"), F.first("words").alias("words")))
     n_train, n_eval = classes.filter("train").count(), classes.filter("not train").count()
 
-    counts = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    frequency = {r["word"]: r["n"] for r in counts.filter(F.col("n") > max(1, (n_train + n_eval) // 1000)).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(frequency)
     shards, blocks = max(1, -(-n_eval // EVAL_SHARD)), max(1, -(-n_train // TRAIN_BLOCK))
 
     def dealt(is_train: bool) -> DataFrame:
@@ -186,7 +175,7 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str
         return own.select(*(F.col(c).alias(c if is_train else f"eval_{c}") for c in ("text", "key", "words")), home.alias("block" if is_train else "shard"), other.alias("shard" if is_train else "block"))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(scan_block(left, right, shared.value), columns=["train_text", "eval_text", "coverage", "similarity"])
+        return pd.DataFrame(scan_block(left, right), columns=["train_text", "eval_text", "coverage", "similarity"])
 
     cells = dealt(True).groupBy("shard", "block").cogroup(dealt(False).groupBy("shard", "block"))
     pairs = cells.applyInPandas(scan, "train_text binary, eval_text binary, coverage double, similarity double")
