@@ -86,12 +86,12 @@ def token_length_stats(lengths: DataFrame, column: str = "n") -> DataFrame:
     """
     counts = lengths.groupBy(column).agg(F.count("*").alias("c"))
     up_to = counts.withColumn("cum", F.sum("c").over(Window.orderBy(column)))
-    total = counts.agg(F.sum("c").alias("total"))
+    total = counts.agg(F.sum("c").alias("total")).scalar()
     at = lambda position: F.min(F.when(F.col("cum") >= position, F.col(column)))
     total_col = F.col("total")
     place = lambda p: F.when(F.floor(total_col * p) < 1, total_col).otherwise(F.floor(total_col * p))
     return (
-        up_to.crossJoin(F.broadcast(total))
+        up_to.withColumn("total", total)
         .groupBy("total")
         .agg(
             F.min(column).alias("least"),

@@ -41,6 +41,9 @@ from loomline.session import durable
 
 SHARD = 20_000
 BIG_SHARE = 1000
+#: Most labels that are balanced one by one; the rest are balanced together.
+MAX_LABELS = 1000
+POOLED = "(other labels)"
 _CODE = re.compile(r"cs(\d{7})")
 _SEVEN = re.compile(r"\d{7}")
 
@@ -189,9 +192,14 @@ def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[
     # one row per id, whatever is repeated
     labelled = labelled.groupBy("record_id").agg(F.min("label").alias("label"))
     rows = durable(groups.groupBy("record_id").agg(F.min("group_id").alias("group_id")).join(labelled, "record_id"))
-    counts = rows.groupBy("group_id", "label").agg(F.count("*").alias("n"))
+    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).toLocalIterator()}
+    beyond = rows.count() - sum(per_label.values())
+    if beyond:
+        # labels beyond the most frequent are balanced as one
+        per_label[POOLED] = per_label.get(POOLED, 0) + beyond
+    balanced = F.when(F.col("label").isin(list(per_label)), F.col("label")).otherwise(POOLED) if beyond else F.col("label")
+    counts = rows.groupBy("group_id", balanced.alias("label")).agg(F.count("*").alias("n"))
     vectors = durable(counts.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector"), F.sum("n").alias("size")))
-    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).toLocalIterator()}
     labels = sorted(per_label)
     n_rows, n_groups = sum(per_label.values()), vectors.count()
     wanted = np.outer(shares, [per_label[x] for x in labels]) if labels else np.zeros((len(names), 0))
@@ -200,10 +208,6 @@ def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[
     floor = max(1, n_rows // BIG_SHARE)
     big = [(r["group_id"], r["vector"]) for r in vectors.filter(F.col("size") > floor).toLocalIterator()]
     placed_big = place(big, wanted, labels)
-    rest = np.array([per_label[x] for x in labels], float)
-    for _, vector in big:
-        for label, n in vector.items():
-            rest[labels.index(label)] -= n
     open_needs = np.maximum(wanted, 0)
     open_share = open_needs / np.maximum(open_needs.sum(axis=0), 1e-9)
     shards = max(1, -(-n_groups // SHARD))

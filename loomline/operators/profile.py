@@ -14,9 +14,9 @@ PLACEHOLDER_ANSWERS = ("i don't know", "dont know", "no answer", "not available"
 def distribution(df: DataFrame, value: Column, blank_counts: bool = True) -> DataFrame:
     """(value, records, percent): percent of all rows, blanks listed or not."""
     counts = df.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("records"))
-    total = counts.agg(F.sum("records").alias("total"))
+    total = counts.agg(F.sum("records").alias("total")).scalar()
     listed = counts if blank_counts else counts.filter("value <> ''")
-    return listed.crossJoin(F.broadcast(total)).select("value", "records", F.round(100 * F.col("records") / F.col("total"), 4).alias("percent"))
+    return listed.select("value", "records", F.round(100 * F.col("records") / total, 4).alias("percent"))
 
 
 def distribution_within(df: DataFrame, part: str, value: Column) -> DataFrame:

@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most strata; the table of targets is held by the driver and broadcast.
+MAX_STRATA = 10_000
 BUCKET_DIGITS = 3  # 4096 buckets by the leading hex digits of the permutation hash
 
 
@@ -42,8 +44,8 @@ def stratum_counts(pool: DataFrame, targets: DataFrame) -> DataFrame:
 
 def unreachable_strata(pool: DataFrame, targets: DataFrame, fraction: float = 0.2) -> DataFrame:
     """(category, topic) of strata with fewer rows than their share of the sample."""
-    total = pool.agg((F.count("*") * F.lit(fraction)).alias("sample"))
-    return stratum_counts(pool, targets).crossJoin(F.broadcast(total)).filter("available < target_share * sample").select("category", "topic")
+    sample = pool.agg((F.count("*") * F.lit(fraction)).alias("sample")).scalar()
+    return stratum_counts(pool, targets).filter(F.col("available") < F.col("target_share") * sample).select("category", "topic")
 
 
 def _spread(quota: float, weights: dict, room: dict) -> dict:
@@ -102,9 +104,9 @@ def _drawn(keyed: DataFrame, quota: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("_c", "_t", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_c", "_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cuts = sizes.join(F.broadcast(quota), ["_c", "_t"]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # at most 4096 rows for each of the targets
+    # at most 4096 rows for each of the targets; a hot stratum is spread over its buckets
     cuts = cuts.withColumn("_open", F.col("quota") - F.col("_before")).filter("_open > 0").select("_c", "_t", "_b", "_n", "_open")
-    kept = keyed.join(F.broadcast(cuts), ["_c", "_t", "_b"])
+    kept = keyed.join(cuts, ["_c", "_t", "_b"])
     whole = kept.filter("_n <= _open")
     rank = F.row_number().over(Window.partitionBy("_c", "_t", "_b").orderBy("_p", "_id"))
     edge = kept.filter("_n > _open").withColumn("_rank", rank).filter("_rank <= _open").drop("_rank")
@@ -113,6 +115,8 @@ def _drawn(keyed: DataFrame, quota: DataFrame) -> DataFrame:
 
 def quota_sample(pool: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 42, id_column: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """(sample with id, category, topic as in the targets; report per stratum)."""
+    if targets.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
     merged: dict[tuple, dict] = {}
     for s in (r.asDict() for r in stratum_counts(pool, targets).orderBy("category", "topic").toLocalIterator()):
         # a stratum listed twice: its shares add up, its greater minimum holds

@@ -87,4 +87,6 @@ def split_invariants(original: DataFrame, assigned: DataFrame, id_column: str, g
     ids = rows.groupBy("rid").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("assigned"), F.count_if(F.col("n") > 1).alias("assigned_twice"))
     split_groups = rows.groupBy("group_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("divided_groups"))
     total = original.agg(F.count(F.col(id_column)).alias("total"))
-    return total.crossJoin(ids).crossJoin(split_groups).withColumn("holds", (F.col("total") == F.col("assigned")) & (F.col("assigned_twice") == 0) & (F.col("divided_groups") == 0))
+    # three one-row tables, put side by side by scalar subqueries
+    row = total.select("total", *(ids.select(c).scalar().alias(c) for c in ("assigned", "assigned_twice")), split_groups.scalar().alias("divided_groups"))
+    return row.withColumn("holds", (F.col("total") == F.col("assigned")) & (F.col("assigned_twice") == 0) & (F.col("divided_groups") == 0))

@@ -45,9 +45,9 @@ def gram_counts(classes: DataFrame) -> DataFrame:
 def tfidf_postings(classes: DataFrame) -> DataFrame:
     """(rid, gram, df, w): unit-norm weights; grams of one document are left out."""
     counts = gram_counts(classes)
-    total = classes.agg(F.sum("copies").alias("rows"))
+    total = classes.agg(F.sum("copies").alias("rows")).scalar()
     df = counts.groupBy("gram").agg(F.sum("copies").alias("df")).filter(F.col("df") >= MIN_DF)
-    weighted = counts.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1))
+    weighted = counts.join(df, "gram").withColumn("raw", F.col("tf") * (F.log((1 + total) / (1 + F.col("df"))) + 1))
     norms = weighted.groupBy("rid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighted.join(norms, "rid").select("rid", "gram", "df", (F.col("raw") / F.col("norm")).alias("w"))
 

@@ -28,7 +28,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = raw.join(F.broadcast(blocks), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+    numbered = raw.join(blocks, ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
     text = F.when((F.col("line") == 1) & F.startswith("value", F.lit(BOM)), F.substr("value", F.lit(2))).otherwise(F.col("value"))
     return numbered.select("file", "line", text.alias("text"))
 

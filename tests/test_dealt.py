@@ -177,6 +177,14 @@ def test_hot_group_leaves_the_others_in_proportion(spark):
     assert abs(share["test"] - 75) <= 2 and abs(share["validation"] - 75) <= 2
 
 
+def test_labels_beyond_the_bound_are_balanced_together(spark, monkeypatch):
+    monkeypatch.setattr(linked_split, "MAX_LABELS", 2)
+    df = records(spark, [(i, f"question {i}", "AB"[i % 2] if i < 300 else f"rare {i}", "t") for i in range(400)])
+    assigned = linked_split.stratified_group_split(linked_split.record_groups(df, cases(spark)), df, TARGETS).collect()
+    rare = Counter(r["split"] for r in assigned if r["label"].startswith("rare"))
+    assert len(assigned) == 400 and rare == {"train": 90, "validation": 5, "test": 5}
+
+
 def test_rarest_label_is_placed_first():
     vectors = [(i, {"common": 1}) for i in range(80)] + [(100 + i, {"rare": 1, "common": 1}) for i in range(20)]
     wanted = np.outer([0.8, 0.2], [100.0, 20.0])
