@@ -25,6 +25,7 @@ from loomline.llm.tokens import TOKENIZER, token_counts
 from loomline.session import durable
 
 BINS = 4096
+#: Most weighted sources; their budgets are broadcast.
 MAX_SOURCES = 100_000
 
 
@@ -44,14 +45,14 @@ def source_budgets(counted: DataFrame, weights: DataFrame) -> DataFrame:
     The mix has as many tokens as all documents together.
     """
     have = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
-    total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).scalar()
     share, repeats = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
     small = weights.filter("source is not null").groupBy("source").agg(F.sum(share).alias("target_share"), F.max(repeats).alias("max_repeats"))
     if small.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} weighted sources")
-    joined = small.join(have, "source", "left").crossJoin(F.broadcast(total))
     return (
-        joined.select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("target_share") * F.col("total")).alias("due"))
+        small.join(have, "source", "left")
+        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("target_share") * total).alias("due"))
         .withColumn("epochs", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats"), F.floor(F.col("due") / F.col("tokens")))).otherwise(0).cast("int"))
         .withColumn("open", F.when(F.col("epochs") < F.col("max_repeats"), F.col("due") - F.col("epochs") * F.col("tokens")).otherwise(0.0))
     )
@@ -71,9 +72,9 @@ def mix_sources(counted: DataFrame, weights: DataFrame, seed: int = 42) -> DataF
     keyed = keyed.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int"))
     sums = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("bin_tokens"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BINS rows for each weighted source
+    # BINS rows at most for each weighted source; a hot source is spread over its bins
     sums = sums.withColumn("before", F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)))
-    placed = keyed.join(F.broadcast(sums), ["source", "bin"])
+    placed = keyed.join(sums, ["source", "bin"])
     whole = placed.filter(F.col("before") + F.col("bin_tokens") <= F.col("open")).withColumn("extra", F.lit(1))
     beyond = placed.filter(F.col("before") >= F.col("open")).withColumn("extra", F.lit(0))
     edge = placed.filter((F.col("before") < F.col("open")) & (F.col("before") + F.col("bin_tokens") > F.col("open")))
@@ -87,6 +88,6 @@ def mix_sources(counted: DataFrame, weights: DataFrame, seed: int = 42) -> DataF
 def mix_report(mix: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, target_share, share, documents, tokens, most_repeats) of the mix."""
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    total = used.agg(F.sum("tokens").alias("total"))
-    joined = weights.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share")).join(used, "source", "left").crossJoin(F.broadcast(total))
-    return joined.select("source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    total = used.agg(F.sum("tokens").alias("total")).scalar()
+    joined = weights.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share")).join(used, "source", "left")
+    return joined.select("source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / total, 6).alias("share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
