@@ -47,9 +47,11 @@ def tfidf_postings(classes: DataFrame) -> DataFrame:
     counts = gram_counts(classes)
     total = classes.agg(F.sum("copies").alias("rows")).scalar()
     df = counts.groupBy("gram").agg(F.sum("copies").alias("df")).filter(F.col("df") >= MIN_DF)
-    weighted = counts.join(df, "gram").withColumn("raw", F.col("tf") * (F.log((1 + total) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy("rid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, "rid").select("rid", "gram", "df", (F.col("raw") / F.col("norm")).alias("w"))
+    # hash join: the millions of postings need no sort
+    weighted = counts.join(df.hint("shuffle_hash"), "gram").withColumn("raw", F.col("tf") * (F.log((1 + total) / (1 + F.col("df"))) + 1))
+    # a text's own grams only: bounded by the text
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("rid")))
+    return weighted.select("rid", "gram", "df", (F.col("raw") / norm).alias("w"))
 
 
 def _prefix(postings: DataFrame, t1: float) -> DataFrame:
