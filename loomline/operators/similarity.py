@@ -60,28 +60,25 @@ def _prefix(postings: DataFrame, t1: float) -> DataFrame:
     return postings.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onwards))).filter(F.col("rest") >= t1 - EPSILON).select("rid", "gram", "w")
 
 
-def cosine_pairs(postings: DataFrame, threshold: float, sides: DataFrame | None = None, slack: float = 0.2) -> DataFrame:
+def cosine_pairs(postings: DataFrame, threshold: float, two_sided: bool = False, slack: float = 0.2) -> DataFrame:
     """(a, b, similarity) of texts with cosine >= threshold.
 
-    Without ``sides``: all pairs a < b. With ``sides`` (rid, side 0 or 1): pairs
-    of a on side 0 with b on side 1; postings may hold a text on both sides
-    under different ids.
+    One-sided: all pairs a < b. Two-sided: even ids against odd ids; a text that
+    stands on both sides has an id on each.
     """
     t1 = threshold - slack
     postings = durable(postings)
     prefix = _prefix(postings, t1)
-    if sides is None:
-        left = prefix.select("gram", F.col("rid").alias("a"), F.col("w").alias("wa"))
-        right = prefix.select("gram", F.col("rid").alias("b"), F.col("w").alias("wb"))
-        met = left.join(right, "gram").filter("a < b")
-    else:
-        both = prefix.join(sides, "rid")
-        left = both.filter("side = 0").select("gram", F.col("rid").alias("a"), F.col("w").alias("wa"))
-        right = both.filter("side = 1").select("gram", F.col("rid").alias("b"), F.col("w").alias("wb"))
-        met = left.join(right, "gram")
+    even = F.pmod("rid", F.lit(2)) == 0
+    left = (prefix.filter(even) if two_sided else prefix).select("gram", F.col("rid").alias("a"), F.col("w").alias("wa"))
+    right = (prefix.filter(~even) if two_sided else prefix).select("gram", F.col("rid").alias("b"), F.col("w").alias("wb"))
+    met = left.join(right, "gram")
+    met = met if two_sided else met.filter("a < b")
     candidates = durable(met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part")).filter(F.col("part") >= slack - EPSILON).select("a", "b"))
-    first = candidates.join(postings.select(F.col("rid").alias("a"), "gram", F.col("w").alias("wa")), "a")
-    product = first.join(postings.select(F.col("rid").alias("b"), "gram", F.col("w").alias("wb")), ["b", "gram"])
+    # candidates are the smaller side; hash joins leave the postings unsorted
+    mine = postings.select(F.col("rid").alias("a"), "gram", F.col("w").alias("wa")).join(candidates.hint("shuffle_hash"), "a")
+    theirs = postings.select(F.col("rid").alias("b"), "gram", F.col("w").alias("wb")).join(candidates.select("b").distinct().hint("shuffle_hash"), "b", "left_semi")
+    product = mine.join(theirs.hint("shuffle_hash"), ["b", "gram"])
     return product.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - EPSILON)
 
 
@@ -94,9 +91,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, least: int
     """(a, b, similarity) between representatives of two tables, weights fitted on their union."""
     a = text_classes(left, id_column, least=least).select((F.col("rid") * 2).alias("rid"), "text", "copies")
     b = text_classes(right, id_column, least=least).select((F.col("rid") * 2 + 1).alias("rid"), "text", "copies")
-    both = a.unionByName(b)
-    sides = both.select("rid", F.pmod("rid", F.lit(2)).alias("side"))
-    pairs = cosine_pairs(tfidf_postings(both), threshold, sides)
+    pairs = cosine_pairs(tfidf_postings(a.unionByName(b)), threshold, two_sided=True)
     return pairs.select((F.col("a") / 2).cast("bigint").alias("a"), ((F.col("b") - 1) / 2).cast("bigint").alias("b"), "similarity")
 
 
