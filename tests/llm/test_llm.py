@@ -262,3 +262,19 @@ def test_levels_on_awkward_rows(spark):
     empty = df.limit(0)
     assert rows(grading.reading_levels(empty)) == []
     assert rows(grading.level_profile(grading.reading_levels(df), df.dropDuplicates(["doc_id"])), "lang", "kind", "band", "documents") == [("(none)", "k", 1, 1), ("(none)", "k", 4, 2)]
+
+
+# ---- SQL twins ----
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    data = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    for t in ("documents", "test_items"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    expected = connection.sql(queries.SQL[name])
+    got = rows(queries.QUERIES[name](spark, data), *expected.columns)
+    assert got and got == sorted((tuple(r) for r in expected.fetchall()), key=repr)
