@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions.keys import FIELD_LABELS
 from loomline.operators import canonical_map, form_duplicates, linked_split, quota_sample, split_overlap
 from loomline.session import table
 
@@ -77,7 +78,71 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_split_report, p4_found, p4_overlap_report, p5_found, p5_sample, p5_report, p6_found, p6_collapsed, p7_found, p7_unmatched)}
 
+
+
+# ---- SQL twins, over whole tables -------------------------------------------
+
+
+def sql_words(x: str) -> str:
+    """Words of a text in DuckDB: runs of letters and digits after composition."""
+    return f"regexp_extract_all(lower(nfc_normalize({x})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_FOLDED = "replace(lower(nfc_normalize(question)), 'ß', 'ss')"
+#: t without invisible characters.
+_VISIBLE = r"regexp_replace(t, '\p{Cf}', '', 'g')"
+_BLANKS = r"[\s\p{Z}\p{Cf}]*"
+_LABEL = f"(?:{'|'.join(FIELD_LABELS)}){_BLANKS}:"
+_BEFORE = r"(?:^|[^\p{L}\p{N}])"
+
+
+def _letters(x: str) -> str:
+    return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _field(label: str) -> str:
+    own = f"{_BEFORE}{label}{_BLANKS}:"
+    text = f"regexp_extract(t, '(?s){own}(.*?)(?:[^\\p{{L}}\\p{{N}}]{_LABEL}|$)', 1)"
+    return f"CASE WHEN regexp_matches(t, '{own}') THEN '{label}' || {_letters(text)} ELSE '' END"
+
+
+#: k: the form key of every question.
+_FORM_KEYS = f"""
+WITH RECURSIVE q AS (SELECT record_id, {_FOLDED} AS t FROM merged_dataset WHERE question IS NOT NULL),
+ k AS (SELECT record_id, CASE WHEN regexp_matches(t, '^[^\\p{{L}}\\p{{N}}]*{_LABEL}') AND len(regexp_extract_all(t, '{_BEFORE}{_LABEL}')) >= 2
+   THEN {' || '.join(map(_field, FIELD_LABELS))} ELSE {_letters('t')} END AS k FROM q)
+"""
+
 SQL = {
+    "p3_found": _FORM_KEYS + f""",
+ r AS (SELECT record_id, lower(nfc_normalize(question)) AS t FROM merged_dataset WHERE question IS NOT NULL),
+ v AS (SELECT record_id, unnest(list_distinct(list_concat({sql_words('t')}, {sql_words(_VISIBLE)}))) AS w FROM r),
+ x AS (SELECT record_id, CASE WHEN regexp_full_match(w, 'cs[0-9]{{7}}') THEN substr(w, 3) ELSE w END AS w FROM v),
+ c AS (SELECT case_id, {sql_words('name')}[1] AS w FROM case_studies UNION SELECT case_id, regexp_extract(case_code, '[0-9]{{7}}') FROM case_studies),
+ m AS (SELECT DISTINCT k.k, c.case_id FROM x JOIN c USING (w) JOIN k USING (record_id) WHERE k.k <> ''),
+ link AS (SELECT DISTINCT a.case_id AS a, b.case_id AS b FROM m a JOIN m b USING (k)),
+ reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+ comp AS (SELECT a AS case_id, min(b) AS comp FROM reach GROUP BY a),
+ kc AS (SELECT m.k, min(comp) AS comp FROM m JOIN comp USING (case_id) GROUP BY m.k),
+ g AS (SELECT record_id, coalesce('case ' || comp, 'key ' || k.k) AS g FROM k LEFT JOIN kc ON kc.k = k.k WHERE k.k <> ''),
+ s AS (SELECT g, min(record_id) AS group_id FROM g GROUP BY g HAVING count(*) > 1)
+SELECT record_id, group_id FROM g JOIN s USING (g)
+""",
+    # questions with the same fields in other order have the same words
+    "p4_found": f"""
+WITH u AS (SELECT record_id, split, question FROM splits UNION ALL SELECT record_id, split, question FROM validation),
+ k AS (SELECT record_id, split = 'train' AS train, {_letters(_FOLDED)} AS k, list_distinct({sql_words('question')}) AS w FROM u WHERE question IS NOT NULL),
+ f AS (SELECT record_id, train, len(w) AS n, unnest(w) AS w FROM k),
+ j AS (SELECT a.record_id AS a, b.record_id AS b FROM f a JOIN f b ON a.w = b.w AND a.train AND NOT b.train
+       GROUP BY a.record_id, b.record_id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))),
+ x AS (SELECT a.record_id AS a, b.record_id AS b FROM k a JOIN k b ON a.k = b.k AND a.train AND NOT b.train WHERE a.k <> '')
+SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM (SELECT * FROM j UNION ALL SELECT * FROM x)
+""",
+    "p6_found": _FORM_KEYS + """,
+ g AS (SELECT k, min(record_id) AS group_id FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1)
+SELECT record_id, group_id FROM k JOIN g USING (k)
+""",
+    "p6_collapsed": _FORM_KEYS + "SELECT min(record_id) AS record_id, count(*) AS copies FROM k WHERE k <> '' GROUP BY k",
     "p5_found": """
         WITH have AS (
           SELECT lower(regexp_replace(category, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS c,
