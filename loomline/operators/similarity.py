@@ -82,9 +82,9 @@ def cosine_pairs(postings: DataFrame, threshold: float, two_sided: bool = False,
     return product.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - EPSILON)
 
 
-def near_pairs(df: DataFrame, threshold: float = 0.9, least: int = 20) -> DataFrame:
+def near_pairs(df: DataFrame, threshold: float = 0.9, least: int = 20, slack: float = 0.2) -> DataFrame:
     """(a, b, similarity) between representatives of distinct texts."""
-    return cosine_pairs(tfidf_postings(text_classes(df, least=least)), threshold)
+    return cosine_pairs(tfidf_postings(text_classes(df, least=least)), threshold, slack=slack)
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, least: int = 1, id_column: str = "record_id") -> DataFrame:

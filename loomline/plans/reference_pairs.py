@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.text import clean_text, key_with_marks
 from loomline.operators import dedup, examples, groups, leakage, sampling, similarity
 from loomline.plans.reference_core import merged, parts, sql_clean, sql_default, sql_n3
-from loomline.session import table
+from loomline.session import durable, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,17 +153,31 @@ WITH v AS (SELECT record_id AS rid, {sql_n3('question')} AS k, {sql_default('cat
 """
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
+#: Short prefixes: of tens of thousands of texts alike, the commoner grams would meet too often.
+WHOLE_TABLE_SLACK = 0.05
+
+
+def near_membership(df: DataFrame) -> DataFrame:
+    """(rid, group_id): rows joined by equal N3 questions and by near copies, transitively."""
+    return durable(groups.duplicate_groups(df, slack=WHOLE_TABLE_SLACK))
+
+
+def labelled_exact(spark: SparkSession, d: str) -> DataFrame:
     records = merged(spark, d)
     return groups.with_labels(exact_membership(records), records)
 
 
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    records = merged(spark, d)
+    return groups.with_labels(near_membership(records), records)
+
+
 @query(_MEMBERS + """, hc AS (SELECT group_id, string_agg(category || '=' || n, ',' ORDER BY category || '=' || n) AS category_counts FROM c GROUP BY 1),
  hl AS (SELECT group_id, string_agg(level || '=' || n, ',' ORDER BY level || '=' || n) AS level_counts FROM l GROUP BY 1),
  s AS (SELECT group_id, count(*) AS size FROM m GROUP BY 1)
 SELECT group_id, size, category, level, category_counts, level_counts FROM s JOIN dc USING (group_id) JOIN dl USING (group_id) JOIN hc USING (group_id) JOIN hl USING (group_id)""")
 def group_profile(spark, d):
-    return groups.group_profile(labelled(spark, d))
+    return groups.group_profile(labelled_exact(spark, d))
 
 
 @query(_MEMBERS + ", s AS (SELECT group_id, count(*) AS size FROM m GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, group_id) AS number, group_id, size FROM s")
@@ -173,6 +187,21 @@ def numbered_groups(spark, d):
 
 @query(_MEMBERS + "SELECT category, count(*) AS groups FROM dc GROUP BY category")
 def group_dominant(spark, d):
+    return groups.dominant(labelled_exact(spark, d), "category").groupBy("category").agg(F.count("*").alias("groups"))
+
+
+@query()
+def near_group_profile(spark, d):
+    return groups.group_profile(labelled(spark, d))
+
+
+@query()
+def near_numbered_groups(spark, d):
+    return groups.numbered(near_membership(merged(spark, d)))
+
+
+@query()
+def near_group_dominant(spark, d):
     return groups.dominant(labelled(spark, d), "category").groupBy("category").agg(F.count("*").alias("groups"))
 
 
