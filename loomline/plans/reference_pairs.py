@@ -28,6 +28,9 @@ def query(sql: str | None = None):
 
 # ---- similarity -------------------------------------------------------------
 
+#: Short prefixes: of tens of thousands of texts alike, the commoner grams would meet too often.
+WHOLE_TABLE_SLACK = 0.05
+
 
 def _tfidf_sql(classes: str) -> str:
     """Weights by plain SQL. classes: a query of (rid, text, copies)."""
@@ -71,6 +74,20 @@ def near_pairs_090(spark, d):
     return similarity.near_pairs(table(spark, d, "validation")).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+# The same over the whole master table; its self-join in plain SQL is too slow for a twin.
+
+
+@query()
+def merged_tfidf_weights(spark, d):
+    postings = similarity.tfidf_postings(similarity.text_classes(merged(spark, d)))
+    return postings.groupBy("rid").agg(F.count("*").alias("grams"), F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 4).alias("heaviest"))
+
+
+@query()
+def merged_near_pairs_090(spark, d):
+    return similarity.near_pairs(merged(spark, d), slack=WHOLE_TABLE_SLACK).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 @query(_cross_sql("validation", _TEST, 0.85, 1) + "SELECT a, b, round(similarity, 4) AS similarity FROM pairs ORDER BY round(similarity, 9) DESC, a, b LIMIT 50")
 def cross_pairs_085_top50(spark, d):
     p = parts(spark, d)
@@ -136,6 +153,11 @@ def near_dup_groups(spark, d):
     return groups.duplicate_groups(table(spark, d, "validation"))
 
 
+@query()
+def merged_near_dup_groups(spark, d):
+    return near_membership(merged(spark, d))
+
+
 def exact_membership(df: DataFrame) -> DataFrame:
     """(rid, group_id): rows with equal N3 questions; rows without one stand alone."""
     rows = df.select(F.col("record_id").alias("rid"), key_with_marks("question").alias("key"))
@@ -153,10 +175,6 @@ WITH v AS (SELECT record_id AS rid, {sql_n3('question')} AS k, {sql_default('cat
 """
 
 
-#: Short prefixes: of tens of thousands of texts alike, the commoner grams would meet too often.
-WHOLE_TABLE_SLACK = 0.05
-
-
 def near_membership(df: DataFrame) -> DataFrame:
     """(rid, group_id): rows joined by equal N3 questions and by near copies, transitively."""
     return durable(groups.duplicate_groups(df, slack=WHOLE_TABLE_SLACK))
@@ -227,8 +245,7 @@ def group_split_invariants(spark, d):
 
 @query()
 def near_group_split(spark, d):
-    records = table(spark, d, "validation")
-    return groups.group_stratified_split(groups.with_labels(groups.duplicate_groups(records), records))
+    return groups.group_stratified_split(labelled(spark, d))
 
 
 # ---- tokens and losses --------------------------------------------------------

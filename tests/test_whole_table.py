@@ -57,3 +57,15 @@ def test_group_sizes_count_near_copies(spark, master, near):
     for name in ("near_group_profile", "near_numbered_groups"):
         assert {r["group_id"]: r["size"] for r in registry.QUERIES[name](spark, master[0]).collect()} == sizes
     assert sum(r["groups"] for r in registry.QUERIES["near_group_dominant"](spark, master[0]).collect()) == len(sizes)
+
+
+def test_near_copies_of_the_master_table_are_found(spark, master, near):
+    found = {(r["a"], r["b"]) for r in registry.QUERIES["merged_near_pairs_090"](spark, master[0]).collect()}
+    assert found == near
+    groups = {r["rid"]: r["group_id"] for r in registry.QUERIES["merged_near_dup_groups"](spark, master[0]).collect()}
+    assert groups == components(len(master[1]), near)
+    assert {r["rid"] for r in registry.QUERIES["merged_tfidf_weights"](spark, master[0]).collect()} == set(range(len(master[1])))
+
+
+def test_near_group_split_covers_the_master_table(spark, master):
+    assert {r["rid"] for r in registry.QUERIES["near_group_split"](spark, master[0]).collect()} == set(range(len(master[1])))
