@@ -9,8 +9,9 @@ Placement: grouped iterative stratification. Label vectors (records per
 category) are summed per component. Components that hold more than a
 thousandth of all records (at most a thousand of them) are placed first, against
 the global targets; the others are hashed into shards of about ``SHARD``
-components, each placed by one task against its share of what is still open:
-the rarest outstanding label first, into the split that needs it most.
+components, each placed by one task against integer quotas that add up to what
+is still open of every label: the rarest outstanding label first, into the split
+that needs it most.
 
 Defined results: a record without key and without entity is its own group; rows
 without an id are left out; repeated rows of one id are one record of the split
@@ -177,6 +178,36 @@ def place(vectors: list[tuple[object, dict[str, int]]], wanted: np.ndarray, labe
     return placed
 
 
+def apportion(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Integer quotas ``[s, l]`` of ``counts[l]`` records by largest remainders.
+
+    Rarest label first; equal remainders go to the split that is furthest below
+    its share of all labels so far, then to the earlier one.
+    """
+    exact = shares * counts
+    quotas = np.floor(exact + 1e-9).astype(np.int64)
+    behind = np.zeros(len(shares))
+    for k in np.argsort(counts, kind="stable"):
+        rest = np.round(exact[:, k] - quotas[:, k], 9)
+        order = sorted(range(len(shares)), key=lambda s: (-rest[s], -round(behind[s], 9), s))
+        for i in range(int(counts[k] - quotas[:, k].sum())):
+            quotas[order[i % len(order)], k] += 1
+        behind += exact[:, k] - quotas[:, k]
+    return quotas
+
+
+def spread(quotas: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``[shard, split]``: the quotas of one label over shards that hold ``counts`` of it; both sums are exact."""
+    total = counts.sum()
+    shared = counts[:, None] * quotas[None, :] // max(1, total)
+    # less than a record per split and shard is left: dealt in turn, each split evenly over the shards
+    left = quotas - shared.sum(axis=0)
+    places = np.concatenate([(np.arange(n) + 0.5) / n for n in left if n] or [np.zeros(0)])
+    turns = np.repeat(np.arange(len(quotas)), left)[np.argsort(places, kind="stable")]
+    np.add.at(shared, (np.repeat(np.arange(len(counts)), counts - shared.sum(axis=1)), turns), 1)
+    return shared
+
+
 def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[tuple[str, float]], id_column: str = "record_id", label_column: str = "category") -> DataFrame:
     """(record_id, group_id, label, split) with no group in two splits.
 
@@ -212,17 +243,38 @@ def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[
     open_share = open_needs / np.maximum(open_needs.sum(axis=0), 1e-9)
     shards = max(1, -(-n_groups // SHARD))
 
-    def place_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(int(g), dict(v)) for g, v in zip(pdf["group_id"], pdf["vector"])]
-        here = np.zeros(len(labels))
-        for _, vector in own:
-            for label, n in vector.items():
-                here[labels.index(label)] += n
-        placed = place(own, open_share * here, labels)
+    small = vectors.filter(F.col("size") <= floor).withColumn("shard", F.pmod(F.xxhash64("group_id"), F.lit(shards)))
+    held = small.select("shard", F.explode("vector").alias("label", "n")).groupBy("label", "shard").agg(F.sum("n").alias("n"))
+    small_counts = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.sum("n").alias("n")).toLocalIterator()}
+    quotas = apportion(np.array([small_counts.get(x, 0) for x in labels], np.int64), open_share) if shards > 1 else None
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        dealt = spread(quotas[:, labels.index(key[0])], pdf["n"].to_numpy(np.int64))
+        return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "label": key[0], "quotas": dealt.tolist()})
+
+    def placed_against(own: list, here: np.ndarray) -> pd.DataFrame:
+        placed = place(own, here, labels)
         return pd.DataFrame({"group_id": list(placed), "split": [names[s] for s in placed.values()]})
 
-    small = vectors.filter(F.col("size") <= floor).withColumn("shard", F.pmod(F.xxhash64("group_id"), F.lit(shards)))
-    assigned = small.groupBy("shard").applyInPandas(place_shard, "group_id bigint, split string")
+    def place_all(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(int(g), dict(v)) for g, v in zip(pdf["group_id"], pdf["vector"])]
+        here = np.array([small_counts.get(x, 0) for x in labels], float)
+        return placed_against(own, open_share * here)
+
+    def place_shard(key: tuple, pdf: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        own = [(int(g), dict(v)) for g, v in zip(pdf["group_id"], pdf["vector"])]
+        here = np.zeros((len(names), len(labels)))
+        for label, own_quotas in zip(dealt["label"], dealt["quotas"]):
+            here[:, labels.index(label)] = own_quotas
+        return placed_against(own, here)
+
+    if shards > 1:
+        # a row per shard and label
+        by_label = held.groupBy("label").applyInPandas(deal, "shard bigint, label string, quotas array<bigint>")
+        assigned = small.groupBy("shard").cogroup(by_label.groupBy("shard")).applyInPandas(place_shard, "group_id bigint, split string")
+    else:
+        assigned = small.groupBy("shard").applyInPandas(place_all, "group_id bigint, split string")
     if placed_big:
         assigned = assigned.unionByName(records.sparkSession.createDataFrame([(int(g), names[s]) for g, s in placed_big.items()], "group_id bigint, split string"))
     return rows.join(assigned, "group_id").select("record_id", "group_id", "label", "split")
