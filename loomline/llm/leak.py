@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.keys import words
+from loomline.llm.keys import words
 
 ITEM_BLOCK = 20_000
 GRAM = 4

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.keys import compose, words
+from loomline.llm.keys import compose, words
 from loomline.llm.lang import language_scores
 from loomline.session import durable
 

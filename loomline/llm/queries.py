@@ -1,10 +1,10 @@
-"""Queries of the training-data problems on text (1, 2, 8, 9, 10)."""
+"""Queries of the training-data problems: those on text (1, 2, 8, 9, 10) and those of ``records``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import grading, leak, mixing, pairs, tokens
+from loomline.llm import grading, leak, mixing, pairs, records, tokens
 from loomline.session import table
 
 _QA = ["record_id", "question", "answer", "lang", "source", "category"]
@@ -28,8 +28,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "merged_dataset")
-    return pairs.defect_report(pairs.broken_pairs(records), records)
+    rows = table(spark, d, "merged_dataset")
+    return pairs.defect_report(pairs.broken_pairs(rows), rows)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return grading.level_profile(grading.reading_levels(documents), documents)
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_counts, p2_found, p2_report, p8_found, p8_leaked_items, p8_clean, p9_found, p9_mix, p9_report, p10_found, p10_profile)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_token_budget, p1_token_counts, p2_found, p2_report, p8_found, p8_leaked_items, p8_clean, p9_found, p9_mix, p9_report, p10_found, p10_profile)}
 
 
 def _words(x: str) -> str:
@@ -80,7 +80,7 @@ def _grams(table_: str, ident: str) -> str:
 
 
 #: Tokenizers, defect rules and draws are not in SQL; those queries are tested against brute force.
-SQL: dict[str, str] = {
+SQL: dict[str, str] = records.SQL | {
     "p8_found": f"""
 WITH dg AS ({_grams('documents', 'doc_id')}), ig AS ({_grams('test_items', 'item_id')}), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
 SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n.n HAVING 2 * count(*) >= n.n

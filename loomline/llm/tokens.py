@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.keys import words
+from loomline.llm.keys import words
 from loomline.llm.lang import detect_language
 
 #: Vocabulary used where the caller names none; any file that ``load_tokenizer`` knows will do.

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomline.functions.keys import words
+from loomline.llm.keys import words
 from loomline.llm import grading, leak, mixing, pairs, queries, tokens
 from loomline.llm.lang import detect_language
 from loomline.session import table
@@ -273,7 +273,7 @@ def test_query_equals_sql(spark, name):
 
     data = "/root/testdata/sf0.01"
     connection = duckdb.connect()
-    for t in ("documents", "test_items"):
+    for t in ("documents", "test_items", "merged_dataset", "splits", "validation", "python_balanced_1000", "case_studies", "sample_targets", "topic_reference", "source_weights"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     expected = connection.sql(queries.SQL[name])
     got = rows(queries.QUERIES[name](spark, data), *expected.columns)
