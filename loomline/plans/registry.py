@@ -1,6 +1,6 @@
 """All queries of the core library and their SQL twins."""
 
-from loomline.plans import dealt_core, reference_core, reference_pairs
+from loomline.plans import reference_core, reference_pairs
 
-QUERIES = {**dealt_core.QUERIES, **reference_core.QUERIES, **reference_pairs.QUERIES}
-SQL = {**dealt_core.SQL, **reference_core.SQL, **reference_pairs.SQL}
+QUERIES = {**reference_core.QUERIES, **reference_pairs.QUERIES}
+SQL = {**reference_core.SQL, **reference_pairs.SQL}
