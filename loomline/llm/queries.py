@@ -63,8 +63,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return grading.level_profile(grading.reading_levels(documents), documents)
+    return grading.level_profile(grading.reading_levels(table(spark, d, "documents"), kept=grading.PROFILED))
 
 
 QUERIES = records.QUERIES | {f.__name__: f for f in (p1_token_budget, p1_token_counts, p2_found, p2_report, p8_found, p8_leaked_items, p8_clean, p9_found, p9_mix, p9_report, p10_found, p10_profile)}
@@ -79,13 +78,8 @@ def _grams(table_: str, ident: str) -> str:
     return f"SELECT DISTINCT {ident}, unnest({four}) AS g FROM (SELECT {ident}, {_words('text')} AS w FROM {table_})"
 
 
-#: Tokenizers, defect rules and draws are not in SQL; those queries are tested against brute force.
-SQL: dict[str, str] = records.SQL | {
-    "p8_found": f"""
-WITH dg AS ({_grams('documents', 'doc_id')}), ig AS ({_grams('test_items', 'item_id')}), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
-SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n.n HAVING 2 * count(*) >= n.n
-""",
-    "p10_found": f"""
+#: bands: (doc_id, band) by the formula.
+_BANDS = f"""
 WITH a AS (SELECT doc_id, regexp_replace(text, '(?ms)^[ \\t]*```.*?(?:^[ \\t]*```[^\\n]*$|\\z)', chr(10) || chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
  b AS (SELECT doc_id, regexp_replace(t, '</?[A-Za-z!][^<>]*>', '', 'g') AS t FROM a),
  c AS (SELECT doc_id, regexp_replace(t, '(?m)^[\\s\\p{{Z}}]*(?:#|[-*+•] |[0-9]+[.)] |\\||\\[)[^\\n]*$', chr(30), 'g') AS t FROM b),
@@ -93,7 +87,16 @@ WITH a AS (SELECT doc_id, regexp_replace(text, '(?ms)^[ \\t]*```.*?(?:^[ \\t]*``
  s AS (SELECT doc_id, unnest(string_split(t, chr(30))) AS s FROM e),
  w AS (SELECT doc_id, {_words('s')} AS w FROM s),
  x AS (SELECT doc_id, sum(len(w)) AS n, count(*) FILTER (len(w) > 0) AS k, sum(len(list_filter(w, lambda y: length(y) > 6))) AS l FROM w GROUP BY 1),
- y AS (SELECT doc_id, n / k + 100.0 * l / n AS d FROM x WHERE n >= 50)
-SELECT doc_id, (1 + (d >= 30)::INT + (d >= 45)::INT + (d >= 60)::INT)::INT AS band FROM y
+ y AS (SELECT doc_id, n / k + 100.0 * l / n AS d FROM x WHERE n >= 50),
+ bands AS (SELECT doc_id, (1 + (d >= 30)::INT + (d >= 45)::INT + (d >= 60)::INT)::INT AS band FROM y)
+"""
+
+#: Tokenizers, defect rules and draws are not in SQL; those queries are tested against brute force.
+SQL: dict[str, str] = records.SQL | {
+    "p8_found": f"""
+WITH dg AS ({_grams('documents', 'doc_id')}), ig AS ({_grams('test_items', 'item_id')}), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
+SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n.n HAVING 2 * count(*) >= n.n
 """,
+    "p10_found": _BANDS + "SELECT * FROM bands",
+    "p10_profile": _BANDS + "SELECT coalesce(lower(lang), '(none)') AS lang, coalesce(lower(source), '(none)') AS source, coalesce(lower(kind), '(none)') AS kind, band, count(*) AS documents FROM bands JOIN documents USING (doc_id) GROUP BY 1, 2, 3, 4",
 }

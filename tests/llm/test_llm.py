@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,8 +147,6 @@ def test_leaks_match_brute_force(spark, data):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abcd"), max_size=16), min_size=1, max_size=5))
 def test_suffix_search_matches_brute_force(items, documents):
-    import numpy as np
-
     test = leak.TestSuffixes([(i, " ".join(t)) for i, t in enumerate(items)])
     codes = [c for d in documents for c in [*(test.codes.get(w, 0) for w in d), 0]]
     doc = np.repeat(np.arange(len(documents)), [len(d) + 1 for d in documents])
@@ -241,17 +240,35 @@ def test_bands_match_the_formula(spark, data):
     assert rows(grading.reading_levels(df), "doc_id", "band") == sorted(expected, key=repr)
 
 
-def test_models_alone_are_right_on_held_out_documents(spark):
+def test_models_are_right_on_held_out_documents(spark):
     df = table(spark, "/root/testdata/sf0.1", "documents")
-    models = grading.BandModels(grading.train_models(df.filter("doc_id % 5 <> 0"), sample=4000))
-    right = total = 0
+    models = grading.GradeModels(grading.train_models(df.filter("doc_id % 5 <> 0"), sample=4000))
+    symbols, bands = [], []
     for r in df.filter("doc_id % 5 = 0").collect():
         parts = grading.sentences(r["text"])
         d, _ = grading.difficulty(parts)
         if d is not None:
-            total += 1
-            right += models.order([w for p in parts for w in p])[0] == grading.band_of(d)
-    assert total > 1500 and right / total > 0.85
+            symbols.append(grading.shapes(parts))
+            bands.append(grading.band_of(d))
+    got = models.band[models.grade(np.array(symbols, float))[0]]
+    assert len(bands) > 1500 and (got == bands).mean() > 0.998
+
+
+def test_training_moves_the_models(spark, data):
+    counts = grading.train_models(table(spark, data, "documents"))
+    assert counts and not np.array_equal(grading.GradeModels(counts).log, grading.GradeModels([]).log)
+
+
+def test_models_agree_with_the_formula_away_from_boundaries():
+    rng = np.random.default_rng(3)
+    words_, ends = rng.integers(80, 3000, 20_000), rng.integers(2, 200, 20_000)
+    ends = np.minimum(ends, words_)
+    long = (words_ * rng.random(20_000)).astype(int)
+    d = words_ / ends + 100 * long / words_
+    far = (np.abs(d[:, None] - np.array(grading.BOUNDARIES)) > 2).all(axis=1)
+    models = grading.GradeModels([])
+    got = models.band[models.grade(np.stack([long, words_ - long, ends], axis=1)[far].astype(float))[0]]
+    assert (got == [grading.band_of(x) for x in d[far]]).mean() > 0.99
 
 
 def test_levels_on_awkward_rows(spark):
@@ -261,7 +278,7 @@ def test_levels_on_awkward_rows(spark):
     assert rows(grading.reading_levels(df), "doc_id", "band") == [(4, 1), (5, 4), (5, 4)]
     empty = df.limit(0)
     assert rows(grading.reading_levels(empty)) == []
-    assert rows(grading.level_profile(grading.reading_levels(df), df.dropDuplicates(["doc_id"])), "lang", "kind", "band", "documents") == [("(none)", "k", 1, 1), ("(none)", "k", 4, 2)]
+    assert rows(grading.level_profile(grading.reading_levels(df, kept=grading.PROFILED)), "lang", "kind", "band", "documents") == [("(none)", "k", 1, 1), ("(none)", "k", 4, 2)]
 
 
 # ---- SQL twins ----
