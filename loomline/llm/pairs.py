@@ -1,26 +1,32 @@
 """Broken prompt and response pairs (problem 2).
 
-One pass over the pairs applies the rules that need one pair only: empty
-answers, copies of the question, refusals, another language, and the plain
-marks of a cut answer (open code block, open bracket, ellipsis, list mark
-without item, dangling connective). An answer that merely lacks its full stop
-needs the corpus: its closing sentence goes to a table of distinct closings,
-which is sorted by text, and neighbours' common prefixes are compared:
-
-* a closing that others end properly (with its full stop) is complete;
-* a closing that is the beginning of its neighbour is a shortened version;
-* otherwise it is complete only if properly ended closings end in the same two
-  words, and not if its answer's length is one at which unended answers pile up
-  (a length limit).
-
-The table of closings is aggregated map-side before its shuffle and sorted by
-range of its first letters, so a family with a common beginning stays together.
+Truncation is found by comparison. The responses are sorted by text and
+neighbours' common prefixes are compared, at every sentence start: the sorted
+list holds the text from each sentence start to that sentence's end. A shortened
+version of a whole response stops inside one of its sentences, so its closing
+sentence is the beginning of that sentence, and the two meet in the list
+wherever they stand in their responses. Of an answer that ends without a mark:
+
+* a closing that others end with a mark is complete (rule ``ended elsewhere``);
+* a closing that is the beginning of its next neighbour is ``shortened`` (all
+  texts that begin with it follow it directly in the order);
+* a closing without such a neighbour is ``alone``: truncated unless ended
+  sentences end in the same two words;
+* at a ``length limit`` (a length at which unended answers pile up) even a
+  complete sentence was cut.
+
+Equal sentences are merged map-side before the shuffle; the list is partitioned
+by ranges of whole sentences, so that a beginning which a third of all responses
+share is split like any other, and partitions pass their first entry to the one
+before. Rules for one pair alone find empty answers, copies of the question,
+refusals, another language, and plain marks of a cut (open code block or bracket,
+ellipsis, comma, list mark without item).
 
 Defined results: null questions and questions without a word are no cases; a
 null answer is ``empty``; each record has at most one defect (the first in the
 order empty, copy, refusal, truncated by plain marks, wrong_language, truncated
-by comparison); repeated rows are judged each; whole texts are read; empty
-tables give an empty result; other columns are not read.
+by comparison); repeated rows are judged each; texts of any length are read
+whole; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.keys import compose, words
+from loomline.llm.keys import compose, word_code, words
 from loomline.llm.lang import language_scores
 from loomline.session import durable
 
@@ -54,17 +62,6 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _ENDED = re.compile(r"[.!?][\"'’”»)\]*_]*$")
 _CUT = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(\.\.\.\))[\"')\]]*$|(?:->|=>|→|[,;:(\[{&+=/\\–—-])$")
 _ITEM = re.compile(r"(?:[-*+•]|\d+[.)])(?:\s+(.*))?$")
-#: Words that never end a sentence (fixed values).
-DANGLING = frozenset(
-    "the a an of to and or but is are was were be with for in on at by from that which so because such as if than then while every each into its their our your my this these those when where who whose how about between per via e.g i.e "
-    "le la les un une des du de et ou mais est sont avec pour dans sur par que qui parce car si comme chaque sans sous entre au aux ce cette ces leur "
-    "der die das den dem des ein eine einen einem einer und oder aber ist sind mit von zu für im am bei nach weil wenn als wie dass jeder jede jedes damit denn durch ohne über unter "
-    "el los las una del y o pero es son con para en por lo se al su sus porque como cuando cada sin sobre".split()
-)
-#: Words that may end a sentence although they also lead on.
-_MAY_END = frozenset("is are was on in by so than then that this at about up".split())
-#: Phrases after which something must follow (fixed values).
-DANGLING_PHRASES = ("for example", "for instance", "such as", "see also", "which is", "so that", "zum beispiel", "siehe auch", "par exemple", "voir aussi", "tel que", "tels que", "por ejemplo", "véase también", "tal como", "lo que", "es decir", "das heißt", "c'est à dire")
 #: Names of the languages, in each of them (fixed values).
 LANGUAGE_NAMES = {
     "en": frozenset("english anglais englisch englischer inglés ingles".split()),
@@ -74,16 +71,13 @@ LANGUAGE_NAMES = {
 }
 _NAME_TO_LANGUAGE = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names}
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
-_DIGITS = re.compile(r"\d+")
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, blank, only marks or markup, or a placeholder."""
     if answer is None:
         return True
-    text = _MARKS.sub("", _TAG.sub("", compose(answer)).lower()) if len(answer) < 200 else "text"
-    if len(answer) >= 200:
-        return not _MARKS.sub("", _TAG.sub("", answer))
+    text = "".join(words(_TAG.sub("", answer) if "<" in answer else answer))
     return not text or text in PLACEHOLDERS
 
 
@@ -111,8 +105,6 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Declines, and what else it says is too short to be an answer."""
-    if len(answer) > 400:
-        return False
     text = compose(answer).lower().replace("’", "'")
     if not _REFUSAL.search(text) or "```" in text:
         return False
@@ -143,20 +135,11 @@ def cut_mark(answer: str) -> bool | None:
         return None
     if last.count("(") > last.count(")") or last.count("[") > last.count("]"):
         return True
-    if tail[-1] in DANGLING and tail[-1] not in _MAY_END or any(" ".join(tail[-4:]).endswith(p) for p in DANGLING_PHRASES):
-        return True
     if item:
         return False
     return None
 
 
-def closing(answer: str) -> str:
-    """Last sentence, without its end mark, digits as one digit, blanks as one blank."""
-    text = answer.rstrip()
-    last = _SENTENCE_END.split(text[-1000:].rsplit("\n", 1)[-1].strip())[-1]
-    return " ".join(_DIGITS.sub("0", last.rstrip(".!?\"'’”»)]*_")).split())
-
-
 def other_language(question: list[str], answer: list[str]) -> bool:
     """Clearly in different languages of the four, and the question does not ask for it."""
     if len(answer) < 6:
@@ -170,100 +153,158 @@ def other_language(question: list[str], answer: list[str]) -> bool:
     return all(_NAME_TO_LANGUAGE.get(w) != la for w in question)
 
 
+# ---- sentences of the responses ----
+
+_BREAK = re.compile(r"(?<=[.!?])[\"'’”»)\]*_]*\s+|\n")
+_END_MARKS = " .!?\"'’”»)]*_\t\r"
+_ELLIPSIS = re.compile(r"(?:…|\.\.|[\[(]\.+[\])])[\"'’”»)\]*_]*$")
+_NUMBER = re.compile(r"\d+")
+
+
+def sentences(text: str) -> list[tuple[str, bool]]:
+    """Sentences and lines of a text: (without end mark, numbers as 0, blanks as one blank; whether it had one)."""
+    result = []
+    for part in _BREAK.split(text.strip()):
+        part = part.strip()
+        ended = _ENDED.search(part) is not None and not _ELLIPSIS.search(part)
+        if bare := " ".join(_NUMBER.sub("0", part.rstrip(_END_MARKS)).split()):
+            result.append((bare, ended))
+    return result
+
+
+def last_two(sentence: str) -> int | None:
+    """Code of the last two words of a sentence."""
+    last = sentence.lower().rsplit(" ", 2)[-2:]
+    return word_code(" ".join(last)) if len(last) == 2 else None
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        defects, closings, ended, lengths = [], [], [], []
+        defects, rules, closings, ended, lengths = [], [], [], [], []
         for question, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            defect = close = end = None
+            defect = rule = close = None
+            end = True
             asked = words(question)
             if asked:
                 if is_empty(answer):
-                    defect = "empty"
-                else:
-                    said = words(answer)
-                    if is_copy(asked, said):
-                        defect = "copy"
-                    elif is_refusal(answer):
-                        defect = "refusal"
-                    else:
-                        cut = cut_mark(answer)
-                        if cut:
-                            defect = "truncated"
-                        else:
-                            if other_language(asked, said):
-                                defect = "wrong_language"
-                            close, end = closing(answer), cut is False
+                    defect = rule = "empty"
+                elif is_copy(asked, said := words(answer)):
+                    defect = rule = "copy"
+                elif is_refusal(answer):
+                    defect = rule = "refusal"
+                elif cut := cut_mark(answer):
+                    defect, rule, end = "truncated", "plain mark", False
+                elif other_language(asked, said):
+                    defect = rule = "wrong_language"
+                elif cut is None:
+                    own = sentences(answer)
+                    close, end = _digest(own[-1][0]) if own else None, False
             defects.append(defect)
+            rules.append(rule)
             closings.append(close)
             ended.append(end)
             lengths.append(len(answer) if answer is not None else 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(defects, pa.string()), pa.array(closings, pa.string()), pa.array(ended, pa.bool_()), pa.array(lengths, pa.int32())],
-            names=["record_id", "defect", "closing", "ended", "length"],
+            [batch.column(0), pa.array(defects, pa.string()), pa.array(rules, pa.string()), pa.array(closings, pa.binary()), pa.array(ended, pa.bool_()), pa.array(lengths, pa.int32())],
+            names=["record_id", "defect", "rule", "closing", "ended", "length"],
         )
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sentence, ended): the sentences of a batch, equal ones merged."""
+    for batch in batches:
+        found: dict[str, bool] = {}
+        for text in batch.column(0).to_pylist():
+            if text is not None:
+                for sentence, ended in sentences(text):
+                    found[sentence] = ended or found.get(sentence, False)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.bool_())], names=["sentence", "ended"])
+
+
+_COMPARED = "closing binary, pair bigint, shortened boolean, part int, first string, last string"
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted closings: whether the next longer neighbour begins with this one."""
-    held = None
+    """Of a sorted partition, three kinds of rows.
+
+    Every sentence that nobody ends, and whether its next neighbour begins with
+    it; one row with the first and the last entry of the partition, of which the
+    last is still undecided; and the pairs of words in which ended sentences end
+    (without closing).
+    """
+    first = held = None
+    pairs: set[int | None] = set()
     for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
         out = []
-        for row in rows:
-            if held is not None:
-                out.append((*held, row[0].startswith(held[0])))
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held is None:
+                first = row[0]
+            elif not held[1]:
+                out.append((_digest(held[0]), last_two(held[0]), row[0].startswith(held[0]), None, None, None))
+            if row[1]:
+                pairs.add(last_two(row[0]))
             held = row
         if out:
-            yield _closing_batch(out)
+            yield _compared_batch(out)
     if held is not None:
-        yield _closing_batch([(*held, False)])
-
-
-def _closing_batch(rows: list[tuple]) -> pa.RecordBatch:
-    text, ended, opened, short = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(ended, pa.int64()), pa.array(opened, pa.int64()), pa.array(short, pa.bool_())], names=["closing", "n_ended", "n_open", "shortened"])
+        yield _compared_batch([(None if held[1] else _digest(held[0]), last_two(held[0]), False, TaskContext.get().partitionId(), first, held[0])])
+    pairs.discard(None)
+    if pairs:
+        yield _compared_batch([(None, pair, False, None, None, None) for pair in pairs])
 
 
-def last_two(column: str) -> F.Column:
-    """Last two words of a closing."""
-    return F.array_join(F.slice(F.split(F.lower(column), " "), -2, 2), " ")
+def _compared_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["closing", "pair", "shortened", "part", "first", "last"])
 
 
-def _closing_verdicts(judged: DataFrame) -> DataFrame:
-    """(closing, exact, alike): open closings that others end, or end alike."""
-    closings = judged.filter("closing is not null").groupBy("closing").agg(F.count_if(F.col("ended")).alias("n_ended"), F.count_if(~F.col("ended")).alias("n_open"))
-    closings = durable(closings.withColumn("family", F.substring("closing", 1, 8)))
-    ranged = closings.repartitionByRange("family").sortWithinPartitions("closing").select("closing", "n_ended", "n_open")
-    compared = ranged.mapInArrow(_neighbours, "closing string, n_ended bigint, n_open bigint, shortened boolean")
-    open_ = compared.filter("n_open > 0").withColumn("pair", last_two("closing"))
-    pairs = closings.filter("n_ended > 0").filter("size(split(closing, ' ')) >= 2").select(last_two("closing").alias("pair")).distinct().withColumn("ends_so", F.lit(True))
-    return open_.join(pairs, "pair", "left").select("closing", (F.col("n_ended") > 0).alias("exact"), (F.coalesce("ends_so", F.lit(False)) & ~F.col("shortened")).alias("alike"))
+def compared_closings(answers: DataFrame) -> DataFrame:
+    """(closing digest, shortened, alike) of every sentence of ``answers`` (answer) that nobody ends."""
+    distinct = answers.mapInArrow(_split, "sentence string, ended boolean").groupBy("sentence").agg(F.max("ended").alias("ended"))
+    ranged = distinct.repartitionByRange("sentence").sortWithinPartitions("sentence")
+    # digests and codes, and two sentences per partition
+    compared = durable(ranged.mapInArrow(_neighbours, _COMPARED))
+    # one row per partition: its last entry meets the first entry of the next one
+    following = F.lead("first").over(Window.orderBy("part"))
+    borders = compared.filter("part is not null").withColumn("shortened", F.coalesce(following.startswith(F.col("last")), F.lit(False)))
+    inner = compared.filter("part is null")
+    unended = inner.unionByName(borders).filter("closing is not null").select("closing", "pair", "shortened")
+    ends = inner.filter("closing is null").select("pair").distinct().withColumn("ends_so", F.lit(True))
+    alone = unended.filter("not shortened").join(ends, "pair", "left").select("closing", "shortened", F.coalesce("ends_so", F.lit(False)).alias("alike"))
+    return unended.filter("shortened").select("closing", "shortened", F.lit(False).alias("alike")).unionByName(alone)
 
 
 def length_limits(judged: DataFrame, least: int = 8, times: int = 5) -> DataFrame:
     """Lengths at which unended answers pile up, compared with ten lengths either side."""
-    opened = judged.filter("not ended or defect = 'truncated'").groupBy("length").agg(F.count("*").alias("n"))
-    around = Window.partitionBy(F.floor(F.col("length") / 1000)).orderBy("length").rangeBetween(-10, 10)
-    return opened.withColumn("mean", (F.sum("n").over(around) - F.col("n")) / 20).filter((F.col("n") >= least) & (F.col("n") >= times * F.col("mean"))).select("length")
+    opened = judged.filter("not ended").groupBy("length").agg(F.count("*").alias("n"))
+    around = opened.select(F.explode(F.sequence(F.col("length") - 10, F.col("length") + 10)).alias("length"), "n").groupBy("length").agg(F.sum("n").alias("near"))
+    mean = (F.col("near") - F.col("n")) / 20
+    return opened.join(around, "length").filter((F.col("n") >= least) & (F.col("n") >= times * mean)).select("length")
 
 
 def broken_pairs(df: DataFrame, id_column: str = "record_id", question_column: str = "question", answer_column: str = "answer") -> DataFrame:
-    """(record_id, defect) of every defective pair."""
+    """(record_id, defect, rule) of every defective pair."""
     pairs = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(question_column).cast("string").alias("question"), F.col(answer_column).cast("string").alias("answer"))
-    judged = durable(pairs.mapInArrow(_judge, "record_id bigint, defect string, closing string, ended boolean, length int"))
-    plain = judged.filter("defect is not null").select("record_id", "defect")
-    open_ = judged.filter("defect is null and not ended").select("record_id", "closing", "length")
+    # id, verdict and a digest of the closing sentence: no texts
+    judged = durable(pairs.mapInArrow(_judge, "record_id bigint, defect string, rule string, closing binary, ended boolean, length int"))
+    plain = judged.filter("defect is not null").select("record_id", "defect", "rule")
+    open_ = judged.filter("closing is not null").select("record_id", "closing", "length")
     limits = length_limits(judged).withColumn("limited", F.lit(True))
+    rule = F.when(F.col("limited"), "length limit").when(F.col("shortened"), "shortened").when(~F.col("alike"), "alone")
     cut = (
-        open_.join(_closing_verdicts(judged), "closing")
+        open_.join(compared_closings(pairs.select("answer")), "closing", "left")
         .join(limits, "length", "left")
-        .filter(~F.col("exact") & (~F.col("alike") | F.coalesce("limited", F.lit(False))))
-        .select("record_id", F.lit("truncated").alias("defect"))
+        .select("record_id", F.lit("truncated").alias("defect"), rule.alias("rule"))
+        .filter("rule is not null")
     )
     return plain.unionByName(cut)
 
 
 def defect_report(broken: DataFrame, df: DataFrame, id_column: str = "record_id") -> DataFrame:
-    """(source, defect, records) of the defective pairs."""
+    """(source, defect, rule, records) of the defective pairs."""
     sources = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"))
-    return broken.join(sources, "record_id").groupBy("source", "defect").agg(F.count("*").alias("records"))
+    return broken.join(sources, "record_id").groupBy("source", "defect", "rule").agg(F.count("*").alias("records"))

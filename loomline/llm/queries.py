@@ -24,7 +24,7 @@ def p1_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.broken_pairs(table(spark, d, "merged_dataset"))
+    return pairs.broken_pairs(table(spark, d, "merged_dataset")).select("record_id", "defect")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:

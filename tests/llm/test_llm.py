@@ -87,7 +87,7 @@ DEFECTS = [
 
 def broken(spark, data):
     df = spark.createDataFrame([(i, q, a, "x", "y", 1) for i, (q, a, *_) in enumerate(data)], "record_id bigint, question string, answer string, defect string, closing string, length int")
-    return dict(rows(pairs.broken_pairs(df)))
+    return dict(rows(pairs.broken_pairs(df), "record_id", "defect"))
 
 
 def test_defects(spark):
@@ -96,8 +96,6 @@ def test_defects(spark):
     data = DEFECTS + filler + DEFECTS[:3]
     got = broken(spark, data)
     wrong = {i: (a, d, got.get(i)) for i, (_, a, d) in enumerate(data) if got.get(i) != d}
-    # text that is mostly a copy of LONG has no verdict of its own
-    wrong.pop(DEFECTS.index((LONG + Q, LONG + GOOD, None)), None)
     assert not wrong
 
 
@@ -107,10 +105,40 @@ def test_defects_of_nothing(spark):
     assert rows(pairs.broken_pairs(df)) == [] == rows(pairs.defect_report(pairs.broken_pairs(df), df))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_comparison_matches_brute_force(spark, adaptive):
+    rng = random.Random(7)
+    texts = list({" ".join(rng.choices(["sort", "the", "rows", "row"], k=rng.randint(1, 5))) + rng.choice(["", "."]) for _ in range(300)})
+    # a third of all responses begin alike
+    texts += ["sort the rows and the " + "".join(rng.choices("abcde", k=rng.randint(1, 6))) + rng.choice(["", "."]) for _ in range(150)]
+    ended = {t.rstrip(".") for t in texts if t.endswith(".")}
+    every = {t.rstrip(".") for t in texts}
+    expected = {s: any(o != s and o.startswith(s) for o in every) for s in every - ended}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = {bytes(r["closing"]): r["shortened"] for r in pairs.compared_closings(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "answer string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {pairs._digest(s): short for s, short in expected.items()}
+
+
+def test_whole_texts_decide(spark):
+    # no length hides a refusal, a placeholder or a shortened closing
+    long_sentence = "we sort " + "very " * 2000 + "large tables"
+    data = [
+        (Q, " " * 3000 + "I cannot help with that request.", "refusal"),
+        (Q, "<p>" * 400 + "N/A" + "</p>" * 400, "empty"),
+        (Q, "Yes. " + long_sentence, "truncated"),
+        (Q, "No. " + long_sentence + " by key.", None),
+    ]
+    assert broken(spark, data) == {i: d for i, (*_, d) in enumerate(data) if d}
+
+
 def test_length_limits_are_spikes(spark):
-    data = [(n, False) for n in range(100, 160)] + [(130, False)] * 30
+    data = [(n, False) for n in range(985, 1045)] + [(1001, False)] * 30
     df = spark.createDataFrame([(n, e, None) for n, e in data], "length int, ended boolean, defect string")
-    assert rows(pairs.length_limits(df)) == [(130,)]
+    assert rows(pairs.length_limits(df)) == [(1001,)]
 
 
 def test_defect_counts_on_the_test_table(spark):
