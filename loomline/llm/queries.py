@@ -46,16 +46,20 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leak.clean_documents(documents.select("doc_id", "source"), leaked)
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(mixing.document_tokens(table(spark, d, "documents")), table(spark, d, "source_weights"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.unreachable_sources(mixing.document_tokens(table(spark, d, "documents")), table(spark, d, "source_weights"))
+    return _mixed(spark, d)[1].filter("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(mixing.document_tokens(table(spark, d, "documents")), table(spark, d, "source_weights"))
+    return _mixed(spark, d)[0]
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(p9_mix(spark, d), table(spark, d, "source_weights"))
+    return _mixed(spark, d)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

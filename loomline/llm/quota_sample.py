@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most strata; the table of targets is held by the driver and broadcast.
-MAX_STRATA = 10_000
+from loomline.session import durable
+
 BUCKET_DIGITS = 3  # 4096 buckets by the leading hex digits of the permutation hash
 
 
@@ -42,12 +43,6 @@ def stratum_counts(pool: DataFrame, targets: DataFrame) -> DataFrame:
     return keyed.join(have, ["_c", "_t"], "left").select("_c", "_t", "category", "topic", "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
 
 
-def unreachable_strata(pool: DataFrame, targets: DataFrame, fraction: float = 0.2) -> DataFrame:
-    """(category, topic) of strata with fewer rows than their share of the sample."""
-    sample = pool.agg((F.count("*") * F.lit(fraction)).alias("sample")).scalar()
-    return stratum_counts(pool, targets).filter(F.col("available") < F.col("target_share") * sample).select("category", "topic")
-
-
 def _spread(quota: float, weights: dict, room: dict) -> dict:
     """Split a quota by weight within each member's room; what is left over stays out."""
     given = {k: 0.0 for k in room}
@@ -103,7 +98,7 @@ def _drawn(keyed: DataFrame, quota: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_b", bucket)
     sizes = keyed.groupBy("_c", "_t", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_c", "_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sizes.join(F.broadcast(quota), ["_c", "_t"]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cuts = sizes.join(quota, ["_c", "_t"]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # at most 4096 rows for each of the targets; a hot stratum is spread over its buckets
     cuts = cuts.withColumn("_open", F.col("quota") - F.col("_before")).filter("_open > 0").select("_c", "_t", "_b", "_n", "_open")
     kept = keyed.join(cuts, ["_c", "_t", "_b"])
@@ -113,25 +108,40 @@ def _drawn(keyed: DataFrame, quota: DataFrame) -> DataFrame:
     return whole.unionByName(edge)
 
 
+_PLAN = "_c string, _t string, category string, topic string, target_share double, min_rows int, available bigint, quota bigint, due double"
+
+
+def _planned(fraction: float):
+    def run(targets: pd.DataFrame) -> pd.DataFrame:
+        """Quotas of all strata; the table has as many rows as the list of targets."""
+        merged: dict[tuple, dict] = {}
+        rows = [{k: None if pd.isna(x) else x for k, x in r.items()} for r in targets.to_dict("records")]
+        for s in sorted(rows, key=lambda r: (r["category"] is not None, r["category"], r["topic"] is not None, r["topic"])):
+            # a stratum listed twice: its shares add up, its greater minimum holds
+            known = merged.setdefault((s["_c"], s["_t"]), s | {"target_share": 0.0, "min_rows": 0})
+            known["target_share"] += max(0.0, s["target_share"] or 0.0)
+            known["min_rows"] = max(known["min_rows"], int(s["min_rows"] or 0))
+        total = int(rows[0]["total"])
+        quotas = allocate(list(merged.values()), math.floor(total * fraction + 1e-9))
+        out = [(*k, s["category"], s["topic"], s["target_share"], s["min_rows"], int(s["available"]), quotas[k], s["target_share"] * (total * fraction)) for k, s in merged.items()]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PLAN.split(", ")])
+
+    return run
+
+
 def quota_sample(pool: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 42, id_column: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """(sample with id, category, topic as in the targets; report per stratum)."""
-    if targets.limit(MAX_STRATA + 1).count() > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    merged: dict[tuple, dict] = {}
-    for s in (r.asDict() for r in stratum_counts(pool, targets).orderBy("category", "topic").toLocalIterator()):
-        # a stratum listed twice: its shares add up, its greater minimum holds
-        known = merged.setdefault((s["_c"], s["_t"]), s | {"target_share": 0.0, "min_rows": 0})
-        known["target_share"] += max(0.0, s["target_share"] or 0.0)
-        known["min_rows"] = max(known["min_rows"], s["min_rows"] or 0)
-    strata = list(merged.values())
-    total = pool.count()
-    size = math.floor(total * fraction + 1e-9)
-    rows = allocate(strata, size)
-    table = [(s["_c"], s["_t"], s["category"], s["topic"], float(s["target_share"] or 0.0), int(s["min_rows"] or 0), int(s["available"]), int(rows[(s["_c"], s["_t"])])) for s in strata]
-    spark = pool.sparkSession
-    plan = spark.createDataFrame(table, "_c string, _t string, category string, topic string, target_share double, min_rows int, available bigint, quota bigint")
+    """(sample with id, category, topic as in the targets; report per stratum).
+
+    The report counts the rows drawn; ``short`` marks strata with fewer rows
+    than their share of the sample.
+    """
+    counts = stratum_counts(pool, targets).withColumn("total", pool.agg(F.count("*")).scalar())
+    plan = durable(counts.groupBy("total").applyInPandas(_planned(fraction), _PLAN))
     keyed = pool.select(F.col(id_column).alias("_id"), label_key("category").alias("_c"), label_key("topic").alias("_t")).withColumn("_p", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_id").cast("string"))))
-    drawn = _drawn(keyed.join(F.broadcast(plan.select("_c", "_t")), ["_c", "_t"], "left_semi"), plan.select("_c", "_t", "quota"))
-    sample = drawn.join(F.broadcast(plan.select("_c", "_t", "category", "topic")), ["_c", "_t"]).select(F.col("_id").alias(id_column), "category", "topic")
-    report = plan.select("category", "topic", "target_share", "min_rows", "available", F.col("quota").alias("drawn"), F.round(F.col("quota") / F.lit(max(1, size)), 6).alias("share"), (F.col("available") < F.col("target_share") * F.lit(float(total * fraction))).alias("short"))
+    drawn = _drawn(keyed.join(plan.select("_c", "_t"), ["_c", "_t"], "left_semi"), plan.select("_c", "_t", "quota"))
+    sample = drawn.join(plan.select("_c", "_t", "category", "topic"), ["_c", "_t"]).select(F.col("_id").alias(id_column), "category", "topic")
+    got = drawn.groupBy("_c", "_t").agg(F.count("*").alias("drawn"))
+    rows = durable(plan.join(got, ["_c", "_t"], "left").select("category", "topic", "target_share", "min_rows", "available", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("available") < F.col("due")).alias("short")))
+    reached = rows.agg(F.greatest(F.sum("drawn"), F.lit(1))).scalar()
+    report = rows.select("category", "topic", "target_share", "min_rows", "available", "drawn", F.round(F.col("drawn") / reached, 6).alias("share"), "short")
     return sample, report

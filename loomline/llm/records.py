@@ -47,16 +47,20 @@ def p4_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(split_overlap.cross_split_overlaps(train, evaluation), evaluation)
 
 
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return quota_sample.quota_sample(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return quota_sample.unreachable_strata(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))
+    return _sampled(spark, d)[1].filter("short").select("category", "topic")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
-    return quota_sample.quota_sample(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))[0]
+    return _sampled(spark, d)[0]
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return quota_sample.quota_sample(table(spark, d, "python_balanced_1000"), table(spark, d, "sample_targets"))[1]
+    return _sampled(spark, d)[1]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -217,7 +217,8 @@ def weights(spark, data):
 def test_mix_meets_the_shares(spark):
     counted = mixing.document_tokens(documents(spark, {"a": 400, "b": 100, "c": 40, None: 60}))
     goal = weights(spark, [("a", 0.5, 3), ("b", 0.4, 4), ("c", 0.1, 1), ("gone", 0.0, 2)])
-    mix = mixing.mix_sources(counted, goal).collect()
+    mix, report = mixing.mix_sources(counted, goal)
+    mix = mix.collect()
     total = sum(r["tokens"] for r in counted.collect())
     used = defaultdict(int)
     for r in mix:
@@ -226,26 +227,37 @@ def test_mix_meets_the_shares(spark):
     # c has too little even once
     assert {r["repeats"] for r in mix if r["source"] == "c"} == {1} and len([r for r in mix if r["source"] == "c"]) == 40
     assert {r["repeats"] for r in mix if r["source"] == "b"} <= {2, 3}
-    assert rows(mixing.unreachable_sources(counted, goal)) == [("c",)]
-    report = {r["source"]: r for r in mixing.mix_report(mixing.mix_sources(counted, goal), goal).collect()}
+    assert rows(report.filter("short"), "source") == [("c",)]
+    report = {r["source"]: r for r in report.collect()}
+    assert report["c"]["missing"] == round(0.1 * total) - report["c"]["tokens"] and report["a"]["missing"] == 0
+    assert all(r["tokens"] == used[s] for s, r in report.items()) and abs(sum(r["wanted"] for r in report.values()) - total) <= 2
     assert report["gone"]["tokens"] == 0 and report["c"]["most_repeats"] == 1 and abs(sum(r["share"] for r in report.values()) - 1) < 1e-4
 
 
 def test_better_documents_are_drawn_more_often(spark):
     data = [(i, "s", 100, 1.0 if i % 2 else 0.1) for i in range(2000)]
     counted = spark.createDataFrame(data, "doc_id bigint, source string, tokens bigint, quality double")
-    drawn = [r["doc_id"] for r in mixing.mix_sources(counted, weights(spark, [("s", 0.3, 1)])).collect()]
+    drawn = [r["doc_id"] for r in mixing.mix_sources(counted, weights(spark, [("s", 0.3, 1)]))[0].collect()]
     assert abs(len(drawn) - 600) <= 1 and sum(i % 2 for i in drawn) > 480
 
 
 def test_mix_on_awkward_tables(spark):
     odd = spark.createDataFrame([(1, None, None, "a", 0.0, 1), (2, "", "x", "a", 0.0, 1), (3, "tree", None, None, 0.0, 1), (4, LONG, "en", "b", 0.0, 1), (4, LONG, "en", "b", 0.0, 1)], DOCS)
     goal = weights(spark, [("a", 0.5, 2), ("b", 0.25, 1), ("b", 0.25, 1), (None, 0.1, 1), ("z", None, None)])
-    mix = mixing.mix_sources(mixing.document_tokens(odd), goal)
+    mix, _ = mixing.mix_sources(mixing.document_tokens(odd), goal)
     assert rows(mix, "doc_id", "repeats") == [(4, 1)]
     empty = mixing.document_tokens(spark.createDataFrame([], DOCS))
-    assert rows(mixing.mix_sources(empty, goal)) == rows(mixing.unreachable_sources(empty, goal)) == []
-    assert mixing.mix_report(mixing.mix_sources(empty, goal), goal).count() == 3
+    mix, report = mixing.mix_sources(empty, goal)
+    assert rows(mix) == rows(report.filter("short")) == [] and report.count() == 3
+
+
+def test_no_bin_is_hot_whatever_the_quality(spark):
+    # one source holds all rows, most of them of the poorest quality
+    counted = spark.range(20_000).selectExpr("id as doc_id", "'s' as source", "100L as tokens", "if(id % 10 = 0, 1.0, 0.05) as quality")
+    key = -F.log((F.pmod(F.xxhash64(F.lit(42), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))) / F.col("quality")
+    largest = counted.groupBy(F.floor(F.log(key) * mixing.BINS_PER_UNIT)).count().agg(F.max("count")).first()[0]
+    assert largest <= 40  # expected: at most 20,000 / (e * 1024) = 7 on average
+    assert mixing.mix_sources(counted, weights(spark, [("s", 0.5, 1)]))[0].count() == 10_000
 
 
 # ---- problem 10 ----
