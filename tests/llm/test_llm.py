@@ -178,13 +178,47 @@ def test_suffix_search_matches_brute_force(items, documents):
     test = leak.TestSuffixes([(i, " ".join(t)) for i, t in enumerate(items)])
     codes = [c for d in documents for c in [*(test.codes.get(w, 0) for w in d), 0]]
     doc = np.repeat(np.arange(len(documents)), [len(d) + 1 for d in documents])
-    found, item, longest = leak.shard_matches(test, *leak._known_runs(np.array(codes, np.int64), doc))
-    got = sorted(zip(found.tolist(), test.ids[item].tolist()), key=repr)
+    place = np.concatenate([np.arange(len(d) + 1) for d in documents])
+    array = leak.ShardArray(test, np.array(codes, np.int64), doc, place)
+    found, item = array.holders() if array.n else ((), ())
+    got = sorted(((int(d), int(test.ids[i])) for d, i in zip(found, item)), key=repr)
     assert got == brute_leaks([(i, " ".join(d)) for i, d in enumerate(documents)], [(i, " ".join(t)) for i, t in enumerate(items)])
-    for d, i, n in zip(found.tolist(), test.ids[item].tolist(), longest.tolist()):
+    if not got:
+        return
+    longest, where = array.longest(found, item)
+    for d, i, n, p in zip(found.tolist(), test.ids[item].tolist(), longest.tolist(), where.tolist()):
         text = " " + " ".join(documents[d]) + " "
         runs = [k for a in range(len(items[i])) for k in range(1, len(items[i]) - a + 1) if f" {' '.join(items[i][a : a + k])} " in text]
         assert n == max(runs)
+        assert f" {' '.join(documents[d][p : p + n])} " in f" {' '.join(items[i])} "
+
+
+def test_longest_match_has_no_bound(spark, monkeypatch):
+    rng = random.Random(3)
+    item = " ".join(str(rng.randrange(500)) for _ in range(5000))
+    documents = [(1, "x y " + item + " z"), (2, "a " + item[:-7000] + " b " + item[-7000:])]
+    got = rows(leaks(spark, documents, [(1, item)]))
+    assert got[0] == (1, 1, 5000, 2) and got[1][:2] == (2, 1) and 2500 < got[1][2] < 5000
+
+
+def test_small_shards_and_chunks_find_the_same(data, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    documents = pd.read_parquet(f"{data}/documents.parquet", columns=["doc_id", "text"])
+    items = pd.read_parquet(f"{data}/test_items.parquet", columns=["item_id", "text"])
+
+    class Shared:
+        value = list(items.itertuples(index=False, name=None))
+
+    def found():
+        batches = leak._matched(Shared)(iter(pa.Table.from_pandas(documents, preserve_index=False).to_batches(max_chunksize=30)))
+        return sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+
+    whole = found()
+    monkeypatch.setattr(leak, "SHARD_WORDS", 500)
+    monkeypatch.setattr(leak.chunks, "__defaults__", (3,))
+    assert whole and found() == whole
 
 
 def test_leaks_on_awkward_rows(spark):
