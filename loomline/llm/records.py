@@ -37,14 +37,12 @@ def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    train, evaluation = _evaluation(spark, d)
-    pairs = split_overlap.cross_split_overlaps(train, evaluation)
+    pairs = split_overlap.expanded_pairs(*split_overlap.cross_split_overlaps(*_evaluation(spark, d)))
     return pairs.select(F.least("train_id", "eval_id").alias("record_id_a"), F.greatest("train_id", "eval_id").alias("record_id_b"))
 
 
 def p4_overlap_report(spark: SparkSession, d: str) -> DataFrame:
-    train, evaluation = _evaluation(spark, d)
-    return split_overlap.overlap_report(split_overlap.cross_split_overlaps(train, evaluation), evaluation)
+    return split_overlap.overlap_report(*split_overlap.cross_split_overlaps(*_evaluation(spark, d), kept=("split", "source")))
 
 
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -117,6 +115,17 @@ WITH RECURSIVE q AS (SELECT record_id, {_FOLDED} AS t FROM merged_dataset WHERE
    THEN {' || '.join(map(_field, FIELD_LABELS))} ELSE {_letters('t')} END AS k FROM q)
 """
 
+# questions with the same fields in other order have the same words
+_OVERLAPS = f"""
+WITH u AS (SELECT record_id, split, source, question FROM splits UNION ALL SELECT record_id, split, source, question FROM validation),
+ k AS (SELECT record_id, split = 'train' AS train, {_letters(_FOLDED)} AS k, list_distinct({sql_words('question')}) AS w FROM u WHERE question IS NOT NULL),
+ f AS (SELECT record_id, train, len(w) AS n, unnest(w) AS w FROM k),
+ j AS (SELECT a.record_id AS a, b.record_id AS b FROM f a JOIN f b ON a.w = b.w AND a.train AND NOT b.train
+       GROUP BY a.record_id, b.record_id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))),
+ x AS (SELECT a.record_id AS a, b.record_id AS b FROM k a JOIN k b ON a.k = b.k AND a.train AND NOT b.train WHERE a.k <> ''),
+ pairs AS (SELECT DISTINCT a, b FROM (SELECT * FROM j UNION ALL SELECT * FROM x))
+"""
+
 SQL = {
     "p3_found": _FORM_KEYS + f""",
  r AS (SELECT record_id, lower(nfc_normalize(question)) AS t FROM merged_dataset WHERE question IS NOT NULL),
@@ -132,16 +141,10 @@ SQL = {
  s AS (SELECT g, min(record_id) AS group_id FROM g GROUP BY g HAVING count(*) > 1)
 SELECT record_id, group_id FROM g JOIN s USING (g)
 """,
-    # questions with the same fields in other order have the same words
-    "p4_found": f"""
-WITH u AS (SELECT record_id, split, question FROM splits UNION ALL SELECT record_id, split, question FROM validation),
- k AS (SELECT record_id, split = 'train' AS train, {_letters(_FOLDED)} AS k, list_distinct({sql_words('question')}) AS w FROM u WHERE question IS NOT NULL),
- f AS (SELECT record_id, train, len(w) AS n, unnest(w) AS w FROM k),
- j AS (SELECT a.record_id AS a, b.record_id AS b FROM f a JOIN f b ON a.w = b.w AND a.train AND NOT b.train
-       GROUP BY a.record_id, b.record_id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))),
- x AS (SELECT a.record_id AS a, b.record_id AS b FROM k a JOIN k b ON a.k = b.k AND a.train AND NOT b.train WHERE a.k <> '')
-SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM (SELECT * FROM j UNION ALL SELECT * FROM x)
-""",
+    "p4_found": _OVERLAPS + "SELECT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM pairs",
+    "p4_overlap_report": _OVERLAPS + """, n AS (SELECT b AS record_id, count(*) AS n FROM pairs GROUP BY b)
+SELECT split, coalesce(source, '') AS source, count(*) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs
+FROM u LEFT JOIN n USING (record_id) WHERE split IN ('test', 'validation') GROUP BY 1, 2""",
     "p6_found": _FORM_KEYS + """,
  g AS (SELECT k, min(record_id) AS group_id FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1)
 SELECT record_id, group_id FROM k JOIN g USING (k)

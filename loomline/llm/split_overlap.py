@@ -1,7 +1,7 @@
 """Same or near-same records across splits (problem 4).
 
-Evaluation questions are matched against all training questions by
-Aho-Corasick automata over sharded, normalised evaluation passages.
+Aho-Corasick automata over sharded, normalised evaluation passages scan all
+training texts.
 
 * Normal form: the distinct words of a question in one global order, that of
   their hashes, so that reordered sentences give the same form. (Hash order also
@@ -14,14 +14,19 @@ Aho-Corasick automata over sharded, normalised evaluation passages.
   word breaks at most one passage, so at least ``passages - d`` of them occur
   verbatim in its form. That bound prunes the rest; no partner above the
   threshold can be lost.
-* Evaluation questions are sharded, training questions are dealt into blocks;
-  every block is scanned once by the automaton of every shard. The intervals
-  matched in a training question are merged into the number of covered words
-  per evaluation question, and an exact word-set check follows.
-
-Exact copies are collapsed before the scan (one class per side and text), so a
-question that fills a third of the rows is scanned once. Pairs of classes are
-expanded to records at the end.
+* Equal evaluation questions are one class. Classes are dealt into shards of
+  about ``EVAL_SHARD``; the automaton of a shard is built once, by one task, and
+  broadcast in its finished form (bounded by the shard). Training texts are
+  neither moved nor copied: each is normalised and scanned where it is read, by
+  the automata of ``SHARDS_PER_PASS`` shards in one pass. A worker keeps the
+  result of texts it has seen, so a question that fills a third of the training
+  rows is scanned once per worker.
+* The intervals of an evaluation question that matched are merged into its
+  coverage; an exact check of the word sets follows.
+
+The result are matches of training records with evaluation classes, and the
+membership of the classes; ``expanded_pairs`` makes pairs of records of them,
+``overlap_report`` counts without making any.
 
 Defined results: null, empty and mark-only questions match nothing; repeated
 rows each take part; empty tables give an empty result; very long questions are
@@ -30,6 +35,7 @@ scanned whole; other columns of the input are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -47,27 +53,38 @@ from loomline.session import durable
 #: Shared distinct words / all distinct words, as a fraction.
 SHARED, OF = 3, 4
 EVAL_SHARD = 40_000
-TRAIN_BLOCK = 30_000
+SHARDS_PER_PASS = 4
+#: Texts whose matches a worker remembers.
+REMEMBERED = 100_000
+
+
+class Former:
+    """Normal forms of texts; remembers the codes of words."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+
+    def form(self, text: str | None) -> tuple[bytes | None, bytes, list[int]]:
+        """(digest of the form key, digest of key and words, sorted codes of the distinct words)."""
+        own, key = sorted(set(words(text))), form_key(text)
+        if len(self.codes) > 1_000_000:
+            self.codes.clear()
+        for w in own:
+            if w not in self.codes:
+                self.codes[w] = word_code(w)
+        return key_digest(key) if key else None, xxhash.xxh3_128_digest("\0".join([key, *own]).encode("utf-8", "surrogatepass")), sorted({self.codes[w] for w in own})
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes: dict[str, int] = {}
+    former = Former()
     for batch in batches:
-        if len(codes) > 1_000_000:
-            codes.clear()
-        keys, sets, texts = [], [], []
-        for text in batch.column(2).to_pylist():
-            own = sorted(set(words(text)))
-            key = form_key(text)
-            for w in own:
-                if w not in codes:
-                    codes[w] = word_code(w)
-            keys.append(key_digest(key) if key else None)
-            sets.append(sorted({codes[w] for w in own}))
-            texts.append(xxhash.xxh3_128_digest("\0".join([key, *own]).encode("utf-8", "surrogatepass")))
+        forms = [former.form(text) for text in batch.column(1).to_pylist()]
+        keys, texts, sets = zip(*forms) if forms else ((), (), ())
+        # a text without a word has no class
+        texts = [t if s else None for t, s in zip(texts, sets)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
-            names=["record_id", "train", "key", "text", "words"],
+            [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+            names=["eval_id", *(f"kept_{i}" for i in range(batch.num_columns - 2)), "key", "text", "words"],
         )
 
 
@@ -87,105 +104,134 @@ def passages_needed(sizes: np.ndarray, cut: np.ndarray, m: int) -> np.ndarray:
     return np.where(possible, np.maximum(need, 1), 1 << 30)
 
 
-def scan_block(train: pd.DataFrame, evals: pd.DataFrame) -> list[tuple[bytes, bytes, float, float]]:
-    """(training text, evaluation text, coverage, similarity) of all matches in one block and shard.
-
-    ``words`` are the sorted codes of distinct words.
-    """
-    if not len(train) or not len(evals):
-        return []
-    found: dict[tuple, list[int]] = defaultdict(list)
-    own, sizes, cut, keys = [], [], [], list(evals["eval_key"])
-    for e, codes in enumerate(evals["eval_words"]):
-        form = codes.tolist()
-        borders = passages(len(form))
-        for a, b in borders:
-            found[tuple(c & 0xFFFFFFFF for c in form[a:b])].append(e)
-        own.append(frozenset(form))
-        sizes.append(len(form))
-        cut.append(len(borders))
-    by_key: dict[int, list[int]] = defaultdict(list)
-    for e, key in enumerate(keys):
-        if key is not None:
-            by_key[int.from_bytes(key[:8], "little")].append(e)
-    texts = list(evals["eval_text"])
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    postings, widths = [], []
-    for passage, members in found.items():
-        automaton.add_word(passage, len(postings))
-        postings.append(np.array(members, np.int32))
-        widths.append(len(passage))
-    # the key of the whole text is one passage of three symbols that no word can form
-    for key, members in by_key.items():
-        automaton.add_word((0, key & 0xFFFFFFFF, key >> 32), len(postings))
-        postings.append(np.array(members, np.int32))
-        widths.append(0)
-    automaton.make_automaton()
-    size_of, cut_of = np.array(sizes), np.array(cut)
-    needed: dict[int, np.ndarray] = {}
-    result = []
-    for text, key, codes in zip(train["text"], train["key"], train["words"]):
-        form = codes.tolist()
-        head = int.from_bytes(key[:8], "little") if key is not None else 0
-        hits = [p for _, p in automaton.iter((0, head & 0xFFFFFFFF, head >> 32, *(c & 0xFFFFFFFF for c in form)))]
+def merged_length(intervals: list[tuple[int, int]]) -> int:
+    """Words that the intervals cover together."""
+    total = reach = 0
+    for start, end in sorted(intervals):
+        total += max(0, end - max(start, reach))
+        reach = max(reach, end)
+    return total
+
+
+class EvaluationShard:
+    """Automaton over the passages of evaluation classes; can be pickled."""
+
+    def __init__(self, classes: list[tuple[bytes, bytes | None, list[int]]]):
+        """classes: (text digest, key digest, sorted codes of the distinct words)."""
+        self.texts, self.keys, self.own = zip(*classes)
+        found: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
+        cut = []
+        for e, form in enumerate(self.own):
+            borders = passages(len(form))
+            cut.append(len(borders))
+            for a, b in borders:
+                found[tuple(c & 0xFFFFFFFF for c in form[a:b])].append((e, a, b))
+            if self.keys[e] is not None:
+                # the key of the whole text: three symbols that no word can form
+                found[self.head(self.keys[e])].append((e, 0, len(form)))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.postings = []
+        for passage, members in found.items():
+            self.automaton.add_word(passage, len(self.postings))
+            self.postings.append(np.array(members, np.int32))
+        self.automaton.make_automaton()
+        self.sizes, self.cut = np.array([len(form) for form in self.own]), np.array(cut)
+
+    @staticmethod
+    def head(key: bytes | None) -> tuple[int, int, int]:
+        value = int.from_bytes(key[:8], "little") if key is not None else 0
+        return 0, value & 0xFFFFFFFF, value >> 32
+
+    def scan(self, key: bytes | None, form: list[int]) -> list[tuple[bytes, float, float]]:
+        """(evaluation text, coverage, similarity) of all classes that match a training form."""
+        hits = [p for _, p in self.automaton.iter((*self.head(key), *(c & 0xFFFFFFFF for c in form)))]
         if not hits:
-            continue
-        m = len(form)
-        if m not in needed:
-            if len(needed) > 200:
-                needed.clear()
-            needed[m] = passages_needed(size_of, cut_of, m)
-        # passages of one question are disjoint and a form repeats no word, so matched intervals add up
-        covered: dict[int, int] = {}
-        wide = [p for p in hits if widths[p]]
-        if wide:
-            matched = np.bincount(np.concatenate([postings[p] for p in wide]), minlength=len(own))
-            covered = {e: int(matched[e]) * sizes[e] // cut[e] for e in np.flatnonzero(matched >= needed[m]).tolist()}
-        whole = {e for p in hits if not widths[p] for e in postings[p].tolist()}
-        covered.update((e, sizes[e]) for e in whole)
-        if not covered:
-            continue
-        mine = frozenset(form)
-        for e, length in covered.items():
-            shared = len(mine & own[e])
-            union = m + sizes[e] - shared
-            if OF * shared >= SHARED * union or (e in whole and keys[e] == key):
-                result.append((text, texts[e], min(1.0, length / max(1, sizes[e])), shared / union if union else 1.0))
-    return result
-
-
-def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str = "record_id", text_column: str = "question") -> DataFrame:
+            return []
+        met = np.concatenate([self.postings[p] for p in hits])
+        m, whole = len(form), met[:, 2] - met[:, 1] > 2
+        whole |= self.sizes[met[:, 0]] <= 2
+        which, n = np.unique(met[~whole, 0], return_counts=True)
+        enough = which[n >= passages_needed(self.sizes[which], self.cut[which], m)]
+        candidates = np.union1d(enough, met[whole, 0])
+        if not len(candidates):
+            return []
+        result, mine = [], frozenset(form)
+        met = met[np.isin(met[:, 0], candidates)]
+        met = met[np.argsort(met[:, 0], kind="stable")]
+        for part in np.split(met, np.flatnonzero(np.diff(met[:, 0])) + 1):
+            e = int(part[0, 0])
+            shared = len(mine.intersection(self.own[e]))
+            union = m + len(self.own[e]) - shared
+            if OF * shared >= SHARED * union or (key is not None and self.keys[e] == key):
+                covered = merged_length([(a, b) for _, a, b in part.tolist()])
+                result.append((self.texts[e], covered / len(self.own[e]), shared / union))
+        return result
+
+
+def _scanned(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [pickle.loads(x) for x in shared.value]
+        former, known = Former(), {}
+        for batch in batches:
+            ids, found = [], []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, digest, form = former.form(text)
+                if not form:
+                    continue
+                if (matches := known.get(digest)) is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    matches = known[digest] = [x for shard in shards for x in shard.scan(key, form)]
+                ids += [ident] * len(matches)
+                found += matches
+            texts, coverage, similarity = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(coverage, pa.float64()), pa.array(similarity, pa.float64())], names=["train_id", "text", "coverage", "similarity"])
+
+    return run
+
+
+def _built(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pickled automaton of one shard of classes."""
+    shard = EvaluationShard([(t, k, [int(c) for c in w]) for t, k, w in zip(pdf["text"], pdf["key"], pdf["words"])])
+    return pd.DataFrame({"shard": [pickle.dumps(shard, pickle.HIGHEST_PROTOCOL)]})
+
+
+def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str = "record_id", text_column: str = "question", kept: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(matches, members) of training records and evaluation classes.
+
+    matches: (train_id, text, coverage, similarity), ``text`` the digest of the
+    class. members: (eval_id, text, kept columns as text) of every evaluation
+    row; ``text`` is null where there is no word.
+    """
+    rows = evaluation.select(F.col(id_column).cast("bigint").alias("eval_id"), F.col(text_column).cast("string").alias("question"), *(F.col(c).cast("string").alias(f"kept_{i}") for i, c in enumerate(kept)))
+    schema = "eval_id bigint, " + "".join(f"kept_{i} string, " for i in range(len(kept))) + "key binary, text binary, words array<bigint>"
+    # ids, digests and word codes of the evaluation side alone
+    forms = durable(rows.mapInArrow(_forms, schema))
+    members = forms.select("eval_id", "text", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)))
+    classes = durable(forms.filter("text is not null").groupBy("text").agg(F.first("key").alias("key"), F.first("words").alias("words")))
+    n = classes.count()
+    shards = max(1, -(-n // EVAL_SHARD))
+    questions = train.select(F.col(id_column).cast("bigint").alias("train_id"), F.col(text_column).cast("string").alias("question"))
+    matches = None
+    for start in range(0, shards if n else 0, SHARDS_PER_PASS):
+        own = classes.withColumn("home", F.pmod(F.xxhash64("text"), F.lit(shards))).filter((F.col("home") >= start) & (F.col("home") < start + SHARDS_PER_PASS))
+        # finished automata of EVAL_SHARD classes each, SHARDS_PER_PASS of them
+        built = [bytes(r[0]) for r in own.groupBy("home").applyInPandas(_built, "shard binary").collect()]
+        shared = train.sparkSession.sparkContext.broadcast(built)
+        part = questions.mapInArrow(_scanned(shared), "train_id bigint, text binary, coverage double, similarity double")
+        matches = part if matches is None else matches.unionByName(part)
+    if matches is None:
+        matches = train.sparkSession.createDataFrame([], "train_id bigint, text binary, coverage double, similarity double")
+    return matches, members
+
+
+def expanded_pairs(matches: DataFrame, members: DataFrame) -> DataFrame:
     """(train_id, eval_id, coverage, similarity) of all overlapping pairs of records."""
-    def side(df: DataFrame, is_train: bool) -> DataFrame:
-        return df.select(F.col(id_column).cast("bigint").alias("record_id"), F.lit(is_train).alias("train"), F.col(text_column).cast("string").alias("question"))
-
-    forms = side(train, True).unionByName(side(evaluation, False)).mapInArrow(_forms, "record_id bigint, train boolean, key binary, text binary, words array<bigint>")
-    forms = durable(forms.filter("size(words) > 0"))
-    members = forms.select("record_id", "train", "text")
-    classes = durable(forms.groupBy("train", "text").agg(F.first("key").alias("key"), F.first("words").alias("words")))
-    n_train, n_eval = classes.filter("train").count(), classes.filter("not train").count()
-
-    shards, blocks = max(1, -(-n_eval // EVAL_SHARD)), max(1, -(-n_train // TRAIN_BLOCK))
-
-    def dealt(is_train: bool) -> DataFrame:
-        own = classes.filter("train" if is_train else "not train").select("text", "key", "words")
-        home = F.pmod(F.xxhash64("text"), F.lit(blocks if is_train else shards)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit((shards if is_train else blocks) - 1)))
-        # fresh names: a cogroup confuses columns that both sides inherit from one table
-        return own.select(*(F.col(c).alias(c if is_train else f"eval_{c}") for c in ("text", "key", "words")), home.alias("block" if is_train else "shard"), other.alias("shard" if is_train else "block"))
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(scan_block(left, right), columns=["train_text", "eval_text", "coverage", "similarity"])
-
-    cells = dealt(True).groupBy("shard", "block").cogroup(dealt(False).groupBy("shard", "block"))
-    pairs = cells.applyInPandas(scan, "train_text binary, eval_text binary, coverage double, similarity double")
-    left = members.filter("train").select(F.col("record_id").alias("train_id"), F.col("text").alias("train_text"))
-    right = members.filter("not train").select(F.col("record_id").alias("eval_id"), F.col("text").alias("eval_text"))
-    return pairs.join(left, "train_text").join(right, "eval_text").select("train_id", "eval_id", "coverage", "similarity")
-
-
-def overlap_report(pairs: DataFrame, evaluation: DataFrame, id_column: str = "record_id") -> DataFrame:
-    """(split, source, records, overlapping, pairs) per evaluation split and source."""
-    per = pairs.groupBy(F.col("eval_id").alias(id_column)).agg(F.count("*").alias("n"))
-    rows = evaluation.select(id_column, "split", F.coalesce(F.col("source"), F.lit("")).alias("source")).join(per, id_column, "left")
+    return matches.join(members.select("eval_id", "text"), "text").select("train_id", "eval_id", "coverage", "similarity")
+
+
+def overlap_report(matches: DataFrame, members: DataFrame) -> DataFrame:
+    """(split, source, records, overlapping, pairs) per evaluation split and source, from members that kept both."""
+    per = matches.groupBy("text").agg(F.count("*").alias("n"))
+    rows = members.join(per, "text", "left").withColumn("source", F.coalesce("source", F.lit("")))
     return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

@@ -197,42 +197,54 @@ def frame(spark, data):
     return spark.createDataFrame([(i, q, "w", "k", True) for i, q in data], "record_id bigint, question string, words string, key string, train boolean")
 
 
+def overlaps(train, evaluation):
+    return split_overlap.expanded_pairs(*split_overlap.cross_split_overlaps(train, evaluation))
+
+
 def test_overlaps_match_brute_force(spark, data):
     splits, validation = table(spark, data, "splits"), table(spark, data, "validation")
     train = [tuple(r) for r in splits.filter("split = 'train'").select("record_id", "question").collect()]
     evaluation = [tuple(r) for r in splits.filter("split = 'test'").select("record_id", "question").union(validation.select("record_id", "question")).collect()]
-    got = rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
+    got = rows(overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
     assert got and got == brute_overlaps(train, evaluation)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=14), min_size=1, max_size=8), st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=14), min_size=1, max_size=8))
 def test_passages_lose_no_partner(left, right):
-    import pandas as pd
+    former = split_overlap.Former()
+    sides = [[former.form(" ".join(t)) for t in side] for side in (left, right)]
+    shard = split_overlap.EvaluationShard([(str(i).encode(), key, form) for i, (key, _, form) in enumerate(sides[1])])
+    found = [(a, int(e), coverage) for a, (key, _, form) in enumerate(sides[0]) for e, coverage, _ in shard.scan(key, form)]
+    assert sorted(((a, e) for a, e, _ in found), key=repr) == brute_overlaps(list(enumerate(" ".join(t) for t in left)), list(enumerate(" ".join(t) for t in right)))
+    assert all(0 < coverage <= 1 for *_, coverage in found)
 
-    from loomline.llm.keys import key_digest, word_code
 
-    def side(texts, prefix):
-        return pd.DataFrame({f"{prefix}text": [str(i).encode() for i in range(len(texts))], f"{prefix}key": [key_digest(form_key(" ".join(t))) for t in texts], f"{prefix}words": [np.array(sorted(word_code(w) for w in set(t))) for t in texts]})
+def test_intervals_merge():
+    assert split_overlap.merged_length([(4, 6), (0, 2), (1, 3), (0, 2)]) == 5
 
-    got = sorted({(int(a), int(b)) for a, b, *_ in split_overlap.scan_block(side(left, ""), side(right, "eval_"))})
-    assert got == sorted(brute_overlaps(list(enumerate(" ".join(t) for t in left)), list(enumerate(" ".join(t) for t in right))))
+
+def test_shards_and_passes_find_the_same(spark, data, monkeypatch):
+    splits, validation = table(spark, data, "splits"), table(spark, data, "validation")
+    whole = rows(overlaps(splits, validation))
+    monkeypatch.setattr(split_overlap, "EVAL_SHARD", 3)
+    assert whole and rows(overlaps(splits, validation)) == whole
 
 
 def test_overlaps_on_awkward_rows(spark):
     train = [(1, "data set of trees"), (2, None), (3, ""), (4, "?!"), (5, LONG), (6, "one two three four"), (6, "one two three four")]
     evaluation = [(11, "Dataset of trees!"), (12, None), (13, "_"), (14, LONG + " more"), (15, "four three two"), (16, "one")]
-    got = rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
+    got = rows(overlaps(frame(spark, train), frame(spark, evaluation)), "train_id", "eval_id")
     # LONG has two distinct words, with "more" three: 2/3 is too little
     assert got == [(1, 11), (6, 15), (6, 15)]
-    assert rows(split_overlap.cross_split_overlaps(frame(spark, []), frame(spark, evaluation))) == []
-    assert rows(split_overlap.cross_split_overlaps(frame(spark, train), frame(spark, []))) == []
+    assert rows(overlaps(frame(spark, []), frame(spark, evaluation))) == []
+    assert rows(overlaps(frame(spark, train), frame(spark, []))) == []
 
 
 def test_overlap_report_counts_every_evaluation_row(spark):
-    evaluation = spark.createDataFrame([(11, "test", "s"), (12, "test", None), (13, "validation", "s")], "record_id bigint, split string, source string")
-    pairs = spark.createDataFrame([(1, 11, 1.0, 1.0), (2, 11, 1.0, 0.8)], "train_id bigint, eval_id bigint, coverage double, similarity double")
-    assert rows(split_overlap.overlap_report(pairs, evaluation)) == [("test", "", 1, 0, 0), ("test", "s", 1, 1, 2), ("validation", "s", 1, 0, 0)]
+    members = spark.createDataFrame([(11, b"a", "test", "s"), (12, None, "test", None), (13, b"c", "validation", "s"), (14, b"a", "validation", "s")], "eval_id bigint, text binary, split string, source string")
+    matches = spark.createDataFrame([(1, b"a", 1.0, 1.0), (2, b"a", 1.0, 0.8)], "train_id bigint, text binary, coverage double, similarity double")
+    assert rows(split_overlap.overlap_report(matches, members)) == [("test", "", 1, 0, 0), ("test", "s", 1, 1, 2), ("validation", "s", 2, 1, 2)]
 
 
 # ---- problem 5 ----
