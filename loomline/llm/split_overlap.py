@@ -36,7 +36,6 @@ scanned whole; other columns of the input are not read.
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -119,23 +118,28 @@ class EvaluationShard:
     def __init__(self, classes: list[tuple[bytes, bytes | None, list[int]]]):
         """classes: (text digest, key digest, sorted codes of the distinct words)."""
         self.texts, self.keys, self.own = zip(*classes)
-        found: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
-        cut = []
-        for e, form in enumerate(self.own):
-            borders = passages(len(form))
-            cut.append(len(borders))
-            for a, b in borders:
-                found[tuple(c & 0xFFFFFFFF for c in form[a:b])].append((e, a, b))
-            if self.keys[e] is not None:
-                # the key of the whole text: three symbols that no word can form
-                found[self.head(self.keys[e])].append((e, 0, len(form)))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.postings = []
-        for passage, members in found.items():
-            self.automaton.add_word(passage, len(self.postings))
-            self.postings.append(np.array(members, np.int32))
+        postings: list[list[int]] = []
+        # of each class, the numbers of its passages in order
+        self.numbers = [[self._number(tuple(c & 0xFFFFFFFF for c in form[a:b]), e, postings) for a, b in passages(len(form))] for e, form in enumerate(self.own)]
+        #: Passages from here on are keys of whole texts.
+        self.n_parts = len(postings)
+        for e, key in enumerate(self.keys):
+            if key is not None:
+                self._number(self.head(key), e, postings)
         self.automaton.make_automaton()
-        self.sizes, self.cut = np.array([len(form) for form in self.own]), np.array(cut)
+        self.postings = [np.array(members, np.int32) for members in postings]
+        self.sizes, self.cut = np.array([len(form) for form in self.own]), np.array([len(own) for own in self.numbers])
+        self.needed: dict[int, np.ndarray] = {}
+
+    def _number(self, passage: tuple, e: int, postings: list[list[int]]) -> int:
+        number = self.automaton.get(passage, None)
+        if number is None:
+            number = len(postings)
+            self.automaton.add_word(passage, number)
+            postings.append([])
+        postings[number].append(e)
+        return number
 
     @staticmethod
     def head(key: bytes | None) -> tuple[int, int, int]:
@@ -147,24 +151,30 @@ class EvaluationShard:
         hits = [p for _, p in self.automaton.iter((*self.head(key), *(c & 0xFFFFFFFF for c in form)))]
         if not hits:
             return []
-        met = np.concatenate([self.postings[p] for p in hits])
-        m, whole = len(form), met[:, 2] - met[:, 1] > 2
-        whole |= self.sizes[met[:, 0]] <= 2
-        which, n = np.unique(met[~whole, 0], return_counts=True)
-        enough = which[n >= passages_needed(self.sizes[which], self.cut[which], m)]
-        candidates = np.union1d(enough, met[whole, 0])
-        if not len(candidates):
-            return []
-        result, mine = [], frozenset(form)
-        met = met[np.isin(met[:, 0], candidates)]
-        met = met[np.argsort(met[:, 0], kind="stable")]
-        for part in np.split(met, np.flatnonzero(np.diff(met[:, 0])) + 1):
-            e = int(part[0, 0])
-            shared = len(mine.intersection(self.own[e]))
-            union = m + len(self.own[e]) - shared
-            if OF * shared >= SHARED * union or (key is not None and self.keys[e] == key):
-                covered = merged_length([(a, b) for _, a, b in part.tolist()])
-                result.append((self.texts[e], covered / len(self.own[e]), shared / union))
+        m, candidates = len(form), set()
+        if parts := [self.postings[p] for p in hits if p < self.n_parts]:
+            met = np.concatenate(parts)
+            if 8 * len(met) < len(self.own):
+                which, n = np.unique(met, return_counts=True)
+                candidates.update(which[n >= passages_needed(self.sizes[which], self.cut[which], m)].tolist())
+            else:
+                if m not in self.needed:
+                    if len(self.needed) > 200:
+                        self.needed.clear()
+                    self.needed[m] = passages_needed(self.sizes, self.cut, m)
+                candidates.update(np.flatnonzero(np.bincount(met, minlength=len(self.own)) >= self.needed[m]).tolist())
+        for p in hits:
+            if p >= self.n_parts:
+                candidates.update(self.postings[p].tolist())
+        result, mine, hits = [], frozenset(form), frozenset(hits)
+        for e in sorted(candidates):
+            own = self.own[e]
+            shared = len(mine.intersection(own))
+            union = m + len(own) - shared
+            same = key is not None and self.keys[e] == key
+            if same or OF * shared >= SHARED * union:
+                intervals = [border for border, p in zip(passages(len(own)), self.numbers[e]) if p in hits] + [(0, len(own))] * same
+                result.append((self.texts[e], merged_length(intervals) / len(own), shared / union))
         return result
 
 
