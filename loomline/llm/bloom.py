@@ -5,7 +5,8 @@ partition notes its positions sparsely, a shuffle on the chunk merges them
 (bits set by one partition and again by another become "repeated"), and only
 the merged, fixed-size array reaches the driver. A filter has no false
 negatives, so callers keep exact results whatever its load; ``MAX_LOG_BITS``
-bounds what is broadcast (64 MiB) at any input size.
+bounds what is broadcast (128 MiB) at any input size. Callers with more rows
+than one filter serves well build several, one per shard of the keys.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_LOG_BITS = 29
+MAX_LOG_BITS = 30
 MIN_LOG_BITS = 15
 CHUNK_LOG_BITS = 15
 HASHES = 2

@@ -16,7 +16,9 @@ that needs it most.
 Defined results: a record without key and without entity is its own group; rows
 without an id are left out; repeated rows of one id are one record of the split
 (with its smallest label) and are each listed by ``record_groups``; a null or
-blank category counts as one label of its own; empty tables give empty results;
+blank category counts as one label of its own; of more than ``max_labels``
+labels (a parameter) the most frequent are balanced one by one and the others
+together as one; empty tables give empty results;
 equal needs are broken by the order of the targets; other columns are never
 read. Targets are normalised to sum to one (all zero: equal shares); no target
 at all is an error. Texts of any length are read whole.
@@ -35,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.keys import form_key, key_digest, word_code, words
 from loomline.llm import bloom
+from loomline.llm.keys import form_key, key_digest, word_code, words
 from loomline.operators.components import connected_components
 from loomline.session import durable
 
 SHARD = 20_000
 BIG_SHARE = 1000
-#: Most labels that are balanced one by one; the rest are balanced together.
-MAX_LABELS = 1000
+#: Most labels that are balanced one by one (the driver holds a count of each).
+MAX_LABELS = 10_000
 POOLED = "(other labels)"
 _CODE = re.compile(r"cs(\d{7})")
 _SEVEN = re.compile(r"\d{7}")
@@ -131,7 +133,10 @@ def record_groups(records: DataFrame, entities: DataFrame, id_column: str = "rec
     whole = texts.filter("anchor is not null").groupBy("anchor").agg(F.min("first_id").alias("group_id"), F.sum("n").alias("size"))
     by_key = texts.filter("anchor is not null").join(whole, "anchor").select("key", "group_id", "size").unionByName(texts.filter("anchor is null").select("key", F.col("first_id").alias("group_id"), F.col("n").alias("size")))
     shared_keys = by_key.filter("size > 1")
-    return marked.select("record_id", "key").join(shared_keys, "key", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    rows = marked.select("record_id", "key")
+    joined = rows.filter("key is not null").join(shared_keys, "key", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    # records without key stand alone and take no part in the shuffle
+    return joined.unionByName(rows.filter("key is null").select("record_id", F.col("record_id").alias("group_id"), F.lit(1).cast("bigint").alias("size")))
 
 
 def linked_records(records: DataFrame, entities: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def spread(quotas: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shared
 
 
-def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[tuple[str, float]], id_column: str = "record_id", label_column: str = "category") -> DataFrame:
+def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[tuple[str, float]], id_column: str = "record_id", label_column: str = "category", max_labels: int = MAX_LABELS) -> DataFrame:
     """(record_id, group_id, label, split) with no group in two splits.
 
     ``groups`` has (record_id, group_id, size) of every record, as from
@@ -223,7 +228,7 @@ def stratified_group_split(groups: DataFrame, records: DataFrame, targets: list[
     # one row per id, whatever is repeated
     labelled = labelled.groupBy("record_id").agg(F.min("label").alias("label"))
     rows = durable(groups.groupBy("record_id").agg(F.min("group_id").alias("group_id")).join(labelled, "record_id"))
-    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).toLocalIterator()}
+    per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).toLocalIterator()}
     beyond = rows.count() - sum(per_label.values())
     if beyond:
         # labels beyond the most frequent are balanced as one

@@ -23,12 +23,11 @@ def test_quotas_add_up_both_ways():
 @pytest.mark.parametrize("labels", [1000, 2])
 def test_rare_labels_reach_every_split(spark, monkeypatch, labels):
     monkeypatch.setattr(linked_split, "SHARD", 100)
-    monkeypatch.setattr(linked_split, "MAX_LABELS", labels)
     # with two labels of their own, the rare ones are pooled
     data = [(i, "rare" if i % 20 == 0 else "seldom" if i % 40 == 1 else "ab"[i % 2]) for i in range(400)]
     records = spark.createDataFrame(data, "record_id bigint, category string")
     groups = records.selectExpr("record_id", "record_id as group_id", "1L as size")
-    got = Counter((r["label"], r["split"]) for r in linked_split.stratified_group_split(groups, records, TARGETS).collect())
+    got = Counter((r["label"], r["split"]) for r in linked_split.stratified_group_split(groups, records, TARGETS, max_labels=labels).collect())
     assert sum(got.values()) == 400
     if labels > 2:
         assert [got["rare", s] for s, _ in TARGETS] == [18, 1, 1]
