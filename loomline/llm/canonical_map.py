@@ -10,11 +10,12 @@ additions such as "intro to" or "part 2") and looked up, in this order:
    the threshold is returned, the nearest one (then the smaller id) wins;
 3. as a cut-off entry: the value is the beginning of exactly one entry.
 
-The tree is walked for a whole batch of values at a time: at each node one
-bit-parallel pass gives the distance of its entry to all values that reach it.
-A reference list of up to ``MAX_BROADCAST`` entries is broadcast whole; a longer
-one is sharded, and the shard winners are merged per value (a beginning shared
-by entries of several shards then goes to the smaller id).
+The tree is built and walked for many strings at a time: at each node one
+bit-parallel pass gives the distance of its entry to all that reach it. A worker
+builds the tree of a list once. A reference list of up to ``MAX_BROADCAST``
+entries is broadcast whole; a longer one is sharded. A shard reports how its
+winner was found and which entries begin with the value, so that merging the
+shards gives what one list would.
 
 Defined results: null and blank values and literal entries are not mapped (no
 row); a value that fits nothing gives 0; equal distances go to the smaller id;
@@ -26,6 +27,7 @@ ignored; repeated rows are mapped each; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -37,11 +39,10 @@ from pyspark.sql import functions as F
 from loomline.llm.keys import words
 
 MAX_BROADCAST = 100_000
-#: Words that people put before and after a topic.
-LEADING = frozenset("topic intro introduction to advanced basic beginner course lesson".split())
-TRAILING = frozenset("basics beginner beginners advanced exercises exercise part notes course".split())
-#: Rank of a cut-off entry: after every match by edits.
-CUT_OFF = 1000
+#: Words that people put before and after a topic; a parameter of the operator.
+ADDITIONS = (frozenset("topic intro introduction to advanced basic beginner course lesson".split()), frozenset("basics beginner beginners advanced exercises exercise part notes course".split()))
+#: How a winner was found, best first.
+EXACT, BY_EDITS, NONE = 0, 1, 2
 _DIGITS = re.compile(r"\d+")
 
 
@@ -99,24 +100,28 @@ class BKTree:
     """Burkhard-Keller tree over (text, id); searched for many values at a time."""
 
     def __init__(self, entries: list[tuple[str, int]]):
-        self.nodes: list[tuple[str, int]] = []
-        self.children: list[dict[int, int]] = []
-        for text, ident in entries:
-            if not self.nodes:
-                self._add(text, ident)
-                continue
-            at = 0
-            while True:
-                d = levenshtein(text, self.nodes[at][0])
-                if d not in self.children[at]:
-                    self.children[at][d] = self._add(text, ident)
-                    break
-                at = self.children[at][d]
-
-    def _add(self, text: str, ident: int) -> int:
-        self.nodes.append((text, ident))
-        self.children.append({})
-        return len(self.nodes) - 1
+        self.nodes: list[tuple[str, int]] = entries
+        self.children: list[dict[int, int]] = [{} for _ in entries]
+        lengths = np.array([len(t) for t, _ in entries], np.int64)
+        chars = _code_points([t for t, _ in entries], lengths)
+        # a node's subtree: it divides all entries that reach it by their distance, in one pass
+        stack = [np.arange(len(entries))] if entries else []
+        while stack:
+            who = stack.pop()
+            root, rest = int(who[0]), who[1:]
+            if len(rest):
+                d = self._distances(entries[root][0], rest, chars, lengths, [t for t, _ in entries])
+                for edge in np.unique(d).tolist():
+                    below = rest[d == edge]
+                    self.children[root][edge] = int(below[0])
+                    stack.append(below)
+
+    @staticmethod
+    def _distances(text: str, who: np.ndarray, chars: np.ndarray, lengths: np.ndarray, values: list[str]) -> np.ndarray:
+        if 1 <= len(text) <= 64:
+            width = int(lengths[who].max())
+            return distances(text, chars[who, :width], lengths[who])
+        return np.array([levenshtein(text, values[i]) for i in who])
 
     def within(self, values: list[str], limit) -> list[list[tuple[int, int]]]:
         """For each value, (distance, id) of every entry within ``limit(len(entry))``."""
@@ -127,33 +132,36 @@ class BKTree:
         most = max(limit(len(t)) for t, _ in self.nodes)
         lengths = np.array([len(v) for v in values], np.int64)
         active = np.flatnonzero(lengths <= longest_entry + most)
-        width = int(lengths[active].max()) if len(active) else 0
-        chars = np.zeros((len(values), width), np.int64)
-        for i in active:
-            chars[i, : lengths[i]] = [ord(c) for c in values[i]]
+        chars = _code_points(values, np.where(lengths <= longest_entry + most, lengths, 0))
         stack = [(0, active)]
         while stack:
             node, who = stack.pop()
             if not len(who):
                 continue
             text, ident = self.nodes[node]
-            if 1 <= len(text) <= 64:
-                d = distances(text, chars[who], lengths[who])
-            else:
-                d = np.array([levenshtein(text, values[i]) for i in who])
-            for i, x in zip(who[d <= limit(len(text))].tolist(), d[d <= limit(len(text))].tolist()):
+            d = self._distances(text, who, chars, lengths, values)
+            near = d <= limit(len(text))
+            for i, x in zip(who[near].tolist(), d[near].tolist()):
                 found[i].append((x, ident))
             for edge, child in self.children[node].items():
                 stack.append((child, who[np.abs(d - edge) <= most]))
         return found
 
 
-def core_words(value: str) -> list[str]:
+def _code_points(values: list[str], lengths: np.ndarray) -> np.ndarray:
+    """(n, longest) code points of the values, 0 beyond the given lengths."""
+    chars = np.zeros((len(values), int(lengths.max()) if len(values) else 0), np.int64)
+    for i in np.flatnonzero(lengths):
+        chars[i, : lengths[i]] = [ord(c) for c in values[i]]
+    return chars
+
+
+def core_words(value: str, additions: tuple[frozenset, frozenset] = ADDITIONS) -> list[str]:
     """Words of a value without additions at its ends."""
     own = words(value)
-    while len(own) > 1 and (own[-1] in TRAILING or _DIGITS.fullmatch(own[-1])):
+    while len(own) > 1 and (own[-1] in additions[1] or _DIGITS.fullmatch(own[-1])):
         own.pop()
-    while len(own) > 1 and (own[0] in LEADING or _DIGITS.fullmatch(own[0])):
+    while len(own) > 1 and (own[0] in additions[0] or _DIGITS.fullmatch(own[0])):
         own.pop(0)
     return own
 
@@ -161,7 +169,8 @@ def core_words(value: str) -> list[str]:
 class Matcher:
     """Lookup of values in one reference list of (id, text, short form)."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]):
+    def __init__(self, entries: list[tuple[int, str, str | None]], additions: tuple[frozenset, frozenset] = ADDITIONS):
+        self.additions = additions
         self.literal = {t for _, t, _ in entries if t is not None}
         self.exact: dict[str, int] = {}
         self.inside: dict[tuple, int] = {}
@@ -181,62 +190,98 @@ class Matcher:
         self.tree = BKTree(sorted((t, i) for t, i in self.plain.items()))
         self.sorted = sorted(self.plain)
 
-    def _contained(self, own: list[str]) -> int | None:
+    def _contained(self, own: list[str]) -> tuple[int, int, int] | None:
+        """(minus the words, their place, id) of the longest entry inside the value."""
         for n in range(min(self.longest, len(own)), 0, -1):
             for i in range(len(own) - n + 1):
                 if (ident := self.inside.get(tuple(own[i : i + n]))) is not None:
-                    return ident
+                    return -n, i, ident
         return None
 
-    def _cut_off(self, text: str) -> int | None:
+    def _beginning(self, text: str) -> tuple[str | None, str | None, int]:
+        """(first and last entry that begins with the text, id of the first if the text is at least half of it)."""
         if len(text) < 5:
-            return None
-        at = bisect_left(self.sorted, text)
-        if at < len(self.sorted) and self.sorted[at].startswith(text) and not (at + 1 < len(self.sorted) and self.sorted[at + 1].startswith(text)):
-            return self.plain[self.sorted[at]] if 2 * len(text) >= len(self.sorted[at]) else None
-        return None
-
-    def match(self, values: list[str]) -> list[tuple[int, int]]:
-        """(distance, id) of each value; id 0 if nothing fits."""
-        result: list[tuple[int, int] | None] = []
+            return None, None, 0
+        first = bisect_left(self.sorted, text)
+        last = bisect_left(self.sorted, text + chr(0x10FFFF)) - 1
+        if last < first:
+            return None, None, 0
+        low = self.sorted[first]
+        return low, self.sorted[last], self.plain[low] if 2 * len(text) >= len(low) else 0
+
+    def ranked(self, values: list[str]) -> list[tuple]:
+        """(how, a, b, c, id, low, high, cut) of each value.
+
+        The smallest (how, a, b, c, id) of all shards is the winner; without one
+        it is ``cut`` if low and high of all shards are one entry.
+        """
+        result: list[tuple] = []
         open_: list[tuple[int, str]] = []
         for k, value in enumerate(values):
-            own = core_words(value)
-            text = "".join(own)
-            ident = self.exact.get(text) or self.exact.get("".join(words(value))) or self._contained(own)
-            result.append((0, ident) if ident else None)
-            if not ident:
+            own = core_words(value, self.additions)
+            text, whole = "".join(own), "".join(words(value))
+            if ident := self.exact.get(text):
+                result.append((EXACT, 0, 0, 0, ident, None, None, 0))
+            elif ident := self.exact.get(whole):
+                result.append((EXACT, 1, 0, 0, ident, None, None, 0))
+            elif inside := self._contained(own):
+                result.append((EXACT, 2, *inside, None, None, 0))
+            else:
+                result.append((NONE, 0, 0, 0, 0, None, None, 0))
                 open_.append((k, text))
         for (k, text), found in zip(open_, self.tree.within([t for _, t in open_], threshold)):
-            if found:
-                result[k] = min(found)
-            else:
-                cut = self._cut_off(text)
-                result[k] = (CUT_OFF, cut) if cut else (1 << 20, 0)
+            how = (BY_EDITS, 0, 0, *min(found)) if found else (NONE, 0, 0, 0, 0)
+            result[k] = (*how, *self._beginning(text))
         return result
 
+    def match(self, values: list[str]) -> list[int]:
+        """Id of each value; 0 if nothing fits."""
+        return [ident if how < NONE else cut if low is not None and low == high else 0 for how, _, _, _, ident, low, high, cut in self.ranked(values)]
+
+
+_MATCHERS: dict[str, Matcher] = {}
 
-def _mapped(shared, id_type: pa.DataType):
+
+def _matcher(shared, name: str, additions: tuple[frozenset, frozenset]) -> Matcher:
+    """The matcher of a broadcast list, built once per worker."""
+    if name not in _MATCHERS:
+        while len(_MATCHERS) >= 2:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
+        _MATCHERS[name] = Matcher(shared.value, additions)
+    return _MATCHERS[name]
+
+
+def _mapped(shared, name: str, additions: tuple[frozenset, frozenset]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        memo: dict[str, tuple[int, int]] = {}
+        matcher = _matcher(shared, name, additions)
+        memo: dict[str, int] = {}
         for batch in batches:
-            ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = [(i, v) for i, v in zip(ids, values) if v is not None and v.strip() and v not in matcher.literal]
+            wanted = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and v.strip() and v not in matcher.literal]
             if len(memo) > 500_000:
                 memo.clear()
             new = list(dict.fromkeys(v for _, v in wanted if v not in memo))
             memo.update(zip(new, matcher.match(new)))
-            got = [memo[v] for _, v in wanted]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in wanted], id_type), pa.array([d for d, _ in got], pa.int32()), pa.array([t for _, t in got], pa.int32())],
-                names=["record_id", "distance", "topic_id"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in wanted], pa.int64()), pa.array([memo[v] for _, v in wanted], pa.int32())], names=["record_id", "topic_id"])
+
+    return run
+
+
+_RANKED = "value string, how int, a int, b int, c int, topic_id int, low string, high string, cut int"
+
+
+def _ranked(shared, name: str, additions: tuple[frozenset, frozenset]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared, name, additions)
+        for batch in batches:
+            values = [v for v in batch.column(0).to_pylist() if v.strip()]
+            columns = list(zip(*matcher.ranked(values))) if values else [()] * 8
+            types = [pa.int32()] * 5 + [pa.string()] * 2 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))], names=[c.split()[0] for c in _RANKED.split(", ")])
 
     return run
 
 
-def map_to_reference(df: DataFrame, reference: DataFrame, id_column: str = "record_id", value_column: str = "topic", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def map_to_reference(df: DataFrame, reference: DataFrame, id_column: str = "record_id", value_column: str = "topic", max_broadcast: int = MAX_BROADCAST, additions: tuple[frozenset, frozenset] = ADDITIONS) -> DataFrame:
     """(record_id, topic_id): the entry meant by each hand-typed value, 0 if none.
 
     ``reference`` has topic_id, topic, short_form.
@@ -247,18 +292,18 @@ def map_to_reference(df: DataFrame, reference: DataFrame, id_column: str = "reco
     context = df.sparkSession.sparkContext
     if shards == 1:
         shared = context.broadcast([tuple(r) for r in entries.toLocalIterator()])
-        return pairs.mapInArrow(_mapped(shared, pa.int64()), "record_id bigint, distance int, topic_id int").select("record_id", "topic_id")
-    values = pairs.filter("value is not null").join(entries.select(F.col("topic").alias("value")), "value", "left_anti")
-    distinct = values.select("value").distinct().select("value", F.col("value").alias("again"))
+        return pairs.mapInArrow(_mapped(shared, uuid.uuid4().hex, additions), "record_id bigint, topic_id int")
+    values = pairs.filter("value is not null").join(entries.select(F.col("topic").alias("value")).distinct(), "value", "left_anti")
+    distinct = values.select("value").distinct()
     parts = None
     for shard in range(shards):
         own = entries.filter(F.pmod(F.xxhash64("topic"), F.lit(shards)) == shard)
         shared = context.broadcast([tuple(r) for r in own.toLocalIterator()])
-        part = distinct.mapInArrow(_mapped(shared, pa.string()), "value string, distance int, topic_id int")
+        part = distinct.mapInArrow(_ranked(shared, uuid.uuid4().hex, additions), _RANKED)
         parts = part if parts is None else parts.unionByName(part)
-    # no entry has distance 2 ** 20, so an entry beats none
-    best = parts.groupBy("value").agg(F.min(F.struct("distance", "topic_id")).alias("best"))
-    return values.join(best, "value").select("record_id", F.col("best.topic_id").alias("topic_id"))
+    best = parts.groupBy("value").agg(F.min(F.struct("how", "a", "b", "c", "topic_id")).alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(F.col("low").isNotNull(), F.col("cut"))).alias("cut"))
+    winner = F.when(F.col("best.how") < NONE, F.col("best.topic_id")).when(F.col("low") == F.col("high"), F.col("cut")).otherwise(0)
+    return values.join(best.select("value", winner.cast("int").alias("topic_id")), "value").select("record_id", "topic_id")
 
 
 def unmatched_values(df: DataFrame, mapped: DataFrame, id_column: str = "record_id", value_column: str = "topic") -> DataFrame:

@@ -95,8 +95,8 @@ def test_records_without_key_are_not_joined(spark):
     # half of all records without key: no task gets them all
     df = records(spark, [(i, None if i % 2 else f"question {i // 4}", "A", "t") for i in range(4000)]).repartition(4)
     groups = linked_split.record_groups(df, cases(spark))
-    sizes = [len(p) for p in groups.rdd.glom().collect()]
-    assert sum(sizes) == 4000 and max(sizes) <= 1500
+    alone = [sum(r["record_id"] % 2 for r in p) for p in groups.rdd.glom().collect()]
+    assert sum(alone) == 2000 and max(alone) <= 800
     assert groups.filter("record_id % 2 = 1 and group_id = record_id and size = 1").count() == 2000
 
 
@@ -338,7 +338,7 @@ def test_mapping_on_awkward_rows(spark):
 @pytest.mark.parametrize("value, topic", [("part of speech tagging", 3), ("Tagging, Part of Speech", 3), ("intro to Pivot Tables", 1), ("Pivot Tables - part 2", 1), ("P.O.S.", 3), ("pos basics", 3), ("forests random", 2), ("Rnadom Froests", 2), ("Random For.", 2), ("random gardens", 0), ("picnic tables today", 0)])
 def test_forms_of_a_topic(value, topic):
     entries = [(i, t, s) for i, t, s, _ in REFERENCE if i and t]
-    assert canonical_map.Matcher(entries).match([value])[0][1] == topic
+    assert canonical_map.Matcher(entries).match([value]) == [topic]
 
 
 @settings(max_examples=80, deadline=None)
@@ -349,6 +349,33 @@ def test_bk_tree_returns_everything_within_the_threshold(entries, values):
         assert sorted(found) == sorted((canonical_map.levenshtein(value, t), i) for i, t in enumerate(entries) if canonical_map.levenshtein(value, t) <= 2)
 
 
+def merged(shards, value):
+    """The rule by which shards are merged, in plain Python."""
+    ranked = [s.ranked([value])[0] for s in shards]
+    best = min(r[:5] for r in ranked)
+    if best[0] < canonical_map.NONE:
+        return best[4]
+    cut = [r[5:] for r in ranked if r[5] is not None]
+    return min(c for *_, c in cut) if cut and min(low for low, *_ in cut) == max(high for _, high, _ in cut) else 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["graph", "search", "methods", "graphs", "Graph", "sea"]), min_size=1, max_size=3), st.sampled_from([None, "gs", "GM"])), min_size=1, max_size=9), st.lists(st.lists(st.sampled_from(["graph", "search", "methods", "grph", "in", "depth", "gs", "graph-sea", "meth"]), min_size=1, max_size=4), min_size=1, max_size=5), st.randoms())
+def test_shards_decide_like_the_whole_list(entries, values, rng):
+    entries = [(i + 1, " ".join(t), s) for i, (t, s) in enumerate(entries)]
+    shards = [[], [], []]
+    for e in entries:
+        shards[rng.randrange(3)].append(e)
+    whole, parts = canonical_map.Matcher(entries), [canonical_map.Matcher(s) for s in shards]
+    for value in map(" ".join, values):
+        assert merged(parts, value) == whole.match([value])[0]
+
+
+def test_sharded_mapping_of_the_test_table(spark):
+    df, entries = table(spark, "/root/testdata/sf0.01", "merged_dataset"), table(spark, "/root/testdata/sf0.01", "topic_reference")
+    assert rows(canonical_map.map_to_reference(df, entries, max_broadcast=20)) == rows(canonical_map.map_to_reference(df, entries))
+
+
 def test_long_entries_use_the_plain_programme():
     tree = canonical_map.BKTree([("a" * 64, 1), ("b" * 70, 2)])
     assert tree.within(["a" * 63 + "x", "b" * 69], lambda n: 2) == [[(1, 1)], [(1, 2)]]
