@@ -32,16 +32,16 @@ def drop_reasons(df: DataFrame, id_column: str = "record_id", question: str = "q
     rows = df.select(F.col(id_column).alias("rid"), drop_reason(question, answer).alias("reason"), key_without_marks(question).alias("key"))
     dropped = rows.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("records"))
     left = rows.filter("reason is null")
-    # rows whose key is empty are kept as they are: one by one
-    kept = left.agg(F.count("*").alias("n"), (F.count_distinct(F.nullif("key", F.lit(""))) + F.count_if(F.col("key") == "")).alias("kept"))
+    # an empty key is a key like any other: its first row stays
+    kept = left.agg(F.count("*").alias("n"), F.count_distinct(F.md5("key")).alias("kept"))
     ends = kept.select(F.explode(F.array(F.struct(F.lit("kept").alias("reason"), F.col("kept").alias("records")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - F.col("kept")).alias("records")))).alias("x")).select("x.*")
     return dropped.unionByName(ends).filter("records > 0")
 
 
 def deduplicated(df: DataFrame, id_column: str = "record_id", question: str = "question", answer: str = "answer") -> DataFrame:
-    """(rid, key) of kept rows: filters first, then the first row of every N1 key."""
+    """(rid, key) of kept rows: filters first, then the first row of every N1 key, the empty one included."""
     kept = df.filter(drop_reason(question, answer).isNull())
-    return first_wins(kept, key_without_marks(question), id_column).select("rid", "key")
+    return first_wins(kept, key_without_marks(question), id_column, drop_empty=False).select("rid", "key")
 
 
 def merged_first_wins(frames: list[DataFrame], id_column: str = "record_id", question: str = "question") -> DataFrame:

@@ -45,6 +45,11 @@ def tokenized(df: DataFrame, id_column: str = "record_id", question: str = "ques
     return rows.select("rid", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), labels.alias("labels"), (F.size("input_ids") >= max_length).alias("truncated"))
 
 
+def unmasked(examples: DataFrame) -> DataFrame:
+    """The same examples with the ids themselves as labels: nothing is hidden."""
+    return examples.withColumn("labels", F.col("input_ids"))
+
+
 def contract_violations(examples: DataFrame) -> DataFrame:
     """(rid, problem): empty arrays or arrays of different lengths."""
     n, m, k = F.size("input_ids"), F.size("attention_mask"), F.size("labels")

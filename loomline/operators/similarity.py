@@ -3,7 +3,8 @@
 Rows are first collapsed to distinct texts (class representative and number of
 copies); document frequencies count copies, so weights are those of all rows.
 Copies then never meet each other in the join, and the result is pairs between
-representatives; membership comes from the exact groups.
+representatives with the copies of both; membership comes from the exact groups
+and from ``text_membership``.
 
 Plan (all-pairs prefix filter): grams of a text are ordered rarest first; its
 prefix ends where the norm of what follows falls below ``t1 < t``. Two texts
@@ -13,7 +14,7 @@ with cosine >= t share prefix grams whose partial product is at least
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import key_with_marks
@@ -88,11 +89,17 @@ def near_pairs(df: DataFrame, threshold: float = 0.9, least: int = 20, slack: fl
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, least: int = 1, id_column: str = "record_id") -> DataFrame:
-    """(a, b, similarity) between representatives of two tables, weights fitted on their union."""
+    """(a, b, similarity, a_copies, b_copies) between representatives of two tables, weights fitted on their union."""
     a = text_classes(left, id_column, least=least).select((F.col("rid") * 2).alias("rid"), "text", "copies")
     b = text_classes(right, id_column, least=least).select((F.col("rid") * 2 + 1).alias("rid"), "text", "copies")
     pairs = cosine_pairs(tfidf_postings(a.unionByName(b)), threshold, two_sided=True)
-    return pairs.select((F.col("a") / 2).cast("bigint").alias("a"), ((F.col("b") - 1) / 2).cast("bigint").alias("b"), "similarity")
+    pairs = pairs.join(a.select(F.col("rid").alias("a"), F.col("copies").alias("a_copies")), "a").join(b.select(F.col("rid").alias("b"), F.col("copies").alias("b_copies")), "b")
+    return pairs.select((F.col("a") / 2).cast("bigint").alias("a"), ((F.col("b") - 1) / 2).cast("bigint").alias("b"), "similarity", "a_copies", "b_copies")
+
+
+def row_pairs(at_least: float) -> Column:
+    """Number of pairs of rows in pairs of texts of at least this similarity: products of the copies."""
+    return F.coalesce(F.sum(F.when(F.col("similarity") >= at_least - EPSILON, F.col("a_copies") * F.col("b_copies"))), F.lit(0))
 
 
 def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -102,6 +109,6 @@ def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def threshold_counts(pairs: DataFrame, thresholds: tuple[float, ...] = (0.98, 0.95, 0.90)) -> DataFrame:
-    """(threshold, pairs): cumulative counts."""
-    row = pairs.agg(*(F.count_if(F.col("similarity") >= t - EPSILON).alias(f"t{i}") for i, t in enumerate(thresholds)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("pairs")) for i, t in enumerate(thresholds)))).alias("x")).select("x.*")
+    """(threshold, texts, pairs): cumulative counts of pairs of texts and of rows."""
+    row = pairs.agg(*(F.count_if(F.col("similarity") >= t - EPSILON).alias(f"t{i}") for i, t in enumerate(thresholds)), *(row_pairs(t).alias(f"p{i}") for i, t in enumerate(thresholds)))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("texts"), F.col(f"p{i}").alias("pairs")) for i, t in enumerate(thresholds)))).alias("x")).select("x.*")

@@ -72,19 +72,19 @@ _REASON = f"CASE WHEN {Q} = '' THEN 'missing question' WHEN {A} = '' THEN 'missi
 
 @query(f"""
 WITH c AS (SELECT doc_id, coalesce(lower(lang), '') AS lang, {sql_clean('text')} AS text, {sql_n1('text')} AS k FROM documents),
-     w AS (SELECT k, min(doc_id) AS doc_id FROM c WHERE length(text) >= 30 AND k <> '' GROUP BY k)
+     w AS (SELECT k, min(doc_id) AS doc_id FROM c WHERE length(text) >= 30 GROUP BY k)
 SELECT lang, count(*) AS records, sum(length(text))::BIGINT AS characters FROM c JOIN w USING (doc_id) GROUP BY lang
 """)
 def clean_dedup(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), clean_text("text").alias("text"), key_without_marks("text").alias("key")).filter(F.length("text") >= 30)
     # the winner's language and length travel with it, so the text itself is not shuffled
-    first = rows.filter("key <> ''").groupBy(F.md5("key").alias("key")).agg(F.min_by(F.struct("lang", F.length("text").alias("n")), "doc_id").alias("w"))
+    first = rows.groupBy(F.md5("key").alias("key")).agg(F.min_by(F.struct("lang", F.length("text").alias("n")), "doc_id").alias("w"))
     return first.groupBy("w.lang").agg(F.count("*").alias("records"), F.sum("w.n").alias("characters"))
 
 
 @query(f"""
 WITH r AS (SELECT record_id, {_REASON} AS reason, {sql_n1('question')} AS k FROM merged_dataset),
-     s AS (SELECT coalesce(reason, CASE WHEN k = '' OR row_number() OVER (PARTITION BY reason IS NULL, k ORDER BY record_id) = 1 THEN 'kept' ELSE 'duplicate' END) AS reason FROM r)
+     s AS (SELECT coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason IS NULL, k ORDER BY record_id) = 1 THEN 'kept' ELSE 'duplicate' END) AS reason FROM r)
 SELECT reason, count(*) AS records FROM s GROUP BY reason
 """)
 def drop_reasons(spark, d):
@@ -93,7 +93,7 @@ def drop_reasons(spark, d):
 
 @query(f"""
 SELECT min(record_id) AS rid, {sql_n1('question')} AS key FROM merged_dataset
-WHERE {_REASON} IS NULL AND {sql_n1('question')} <> '' GROUP BY 2
+WHERE {_REASON} IS NULL GROUP BY 2
 """)
 def dedup_n1(spark, d):
     return dedup.deduplicated(merged(spark, d))
@@ -159,9 +159,13 @@ def prepared_records(spark, d):
     return rows.select("record_id", clean_text("question").alias("question"), clean_text("answer").alias("answer"), F.lit("Python").alias("topic"), F.lit("Python").alias("category"), F.lit("").alias("level"), F.lit("python_pool.jsonl").alias("source"))
 
 
+def _good():
+    return (F.length(clean_text("question")) >= 10) & F.length(clean_text("answer")).between(30, 10000)
+
+
 @query(f"""SELECT record_id FROM merged_dataset WHERE length({Q}) >= 10 AND length({A}) BETWEEN 30 AND 10000""")
 def quality_filter(spark, d):
-    return merged(spark, d).filter((F.length(clean_text("question")) >= 10) & F.length(clean_text("answer")).between(30, 10000)).select("record_id")
+    return merged(spark, d).filter(_good()).select("record_id")
 
 
 @query(f"""SELECT record_id, length(question) BETWEEN 1 AND 8000 AND {Q} <> '' AS valid FROM merged_dataset WHERE question IS NOT NULL""")
@@ -169,9 +173,9 @@ def input_validation(spark, d):
     return merged(spark, d).filter("question is not null").select("record_id", (F.length("question").between(1, 8000) & (clean_text("question") != "")).alias("valid"))
 
 
-@query("""SELECT record_id, row_number() OVER (ORDER BY record_id) AS position, left(question, 150) AS head FROM validation""")
+@query("""SELECT record_id, row_number() OVER (ORDER BY record_id) AS position, left(question, 150) AS head FROM merged_dataset""")
 def row_positions(spark, d):
-    rows = table(spark, d, "validation").select("record_id", F.substring("question", 1, 150).alias("head"))
+    rows = merged(spark, d).select("record_id", F.substring("question", 1, 150).alias("head"))
     return rows.join(row_numbers(rows, "record_id", [F.col("record_id")]), "record_id").select("record_id", F.col("number").alias("position"), "head")
 
 
@@ -362,14 +366,19 @@ _QUOTA = " ".join(f"WHEN '{k}' THEN {n}" for k, n in sampling.QUOTAS.items())
 
 
 @query(f"""
-WITH x AS (SELECT row_id, {_TEXT} AS t FROM python_balanced_1000),
+WITH f AS (SELECT min(row_id) AS row_id FROM python_balanced_1000 WHERE {sql_n1('question')} <> '' GROUP BY {sql_n1('question')}),
+     q AS (SELECT * FROM python_balanced_1000 JOIN f USING (row_id) WHERE length({Q}) >= 10 AND length({A}) BETWEEN 30 AND 10000),
+     x AS (SELECT row_id, {_TEXT} AS t FROM q),
      b AS ({_scored_sql().replace('record_id', 'row_id').split('b AS (', 1)[1].split(')\nSELECT', 1)[0]}),
      s AS (SELECT row_id AS rid, CASE WHEN best.score > 0 THEN best.topic ELSE 'Python Basics' END AS topic, md5('42|' || row_id) AS o FROM b),
      r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY o, rid) <= (CASE topic {_QUOTA} ELSE 0 END) AS first FROM s)
 SELECT rid, topic FROM r ORDER BY (NOT first)::INT, o, rid LIMIT 1000
 """)
 def balanced_sample(spark, d):
-    pool = table(spark, d, "python_balanced_1000")
+    # the first row of every question, then the quality filter, then the draw
+    rows = table(spark, d, "python_balanced_1000")
+    first = dedup.first_wins(rows, key_without_marks("question"), "row_id").select(F.col("rid").alias("row_id"))
+    pool = rows.filter(_good()).join(first, "row_id", "left_semi")
     return sampling.quota_sample(pool, _detected(pool), "row_id")
 
 
@@ -391,10 +400,41 @@ def split_distribution(spark, d):
     return profile.distribution_within(sampling.stratified_split(merged(spark, d)), "split", F.col("category"))
 
 
-@query("SELECT count(*) AS total, count(*) AS assigned, 0::BIGINT AS assigned_twice, 0::BIGINT AS divided_groups, true AS holds FROM merged_dataset")
+def _invariants_sql(rows: str, group: str) -> str:
+    return f"""SELECT (SELECT count(*) FROM merged_dataset) AS total, (SELECT count(*) FROM {rows}) AS assigned,
+ (SELECT count(*) FROM (SELECT rid FROM {rows} GROUP BY rid HAVING count(*) > 1)) AS assigned_twice,
+ (SELECT count(*) FROM (SELECT {group} FROM {rows} GROUP BY {group} HAVING count(DISTINCT split) > 1)) AS divided_groups"""
+
+
+#: faulty: validation rows stand in test as well; grouped: with exact groups, which a split by rows divides.
+_FAULTY = f""", faulty AS (SELECT * FROM z UNION ALL SELECT rid, category, level, 'test' FROM z WHERE split = 'validation'),
+ k AS (SELECT record_id AS rid, {sql_n3('question')} AS k FROM merged_dataset),
+ grouped AS (SELECT z.rid, split, CASE WHEN k = '' THEN z.rid ELSE min(z.rid) OVER (PARTITION BY k) END AS group_id FROM z JOIN k USING (rid)),
+ i AS (SELECT 'sound' AS assignment, * FROM ({_invariants_sql('z', 'rid')}) UNION ALL SELECT 'faulty', * FROM ({_invariants_sql('faulty', 'rid')}) UNION ALL SELECT 'by rows', * FROM ({_invariants_sql('grouped', 'group_id')}))
+SELECT *, total = assigned AND assigned_twice = 0 AND divided_groups = 0 AS holds FROM i
+"""
+
+
+@query(_SPLIT + _FAULTY)
 def split_invariants(spark, d):
+    """The checks on a sound split, on one with rows assigned twice, and on exact groups that a split by rows divides."""
     records = merged(spark, d)
-    return sampling.split_invariants(records, sampling.stratified_split(records), "record_id")
+    sound = sampling.stratified_split(records)
+    faulty = sound.unionByName(sound.filter("split = 'validation'").withColumn("split", F.lit("test")))
+    keyed = records.select(F.col("record_id").alias("rid"), key_with_marks("question").alias("key"))
+    first = dedup.first_wins(records, key_with_marks("question"), "record_id").select("key", F.col("rid").alias("group_id"))
+    grouped = sound.join(keyed.join(first, "key", "left").select("rid", F.coalesce("group_id", "rid").alias("group_id")), "rid")
+    results = [("sound", sound, None), ("faulty", faulty, None), ("by rows", grouped, F.col("group_id"))]
+    checks = [sampling.split_invariants(records, df, "record_id", group).select(F.lit(name).alias("assignment"), "*") for name, df, group in results]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
+@query("SELECT sum(target_share) AS total, abs(sum(target_share) - 1) <= 1e-6 AND min(target_share) >= 0 AS holds FROM split_targets UNION ALL SELECT sum(target_share), abs(sum(target_share) - 1) <= 1e-6 AND min(target_share) >= 0 FROM split_targets WHERE split <> 'test'")
+def ratio_check(spark, d):
+    """Whether shares sum to one: those of all splits, and those without the test split."""
+    shares = table(spark, d, "split_targets")
+    check = lambda df: df.agg(F.sum("target_share").alias("total"), ((F.abs(F.sum("target_share") - 1) <= 1e-6) & (F.min("target_share") >= 0)).alias("holds"))
+    return check(shares).unionByName(check(shares.filter("split <> 'test'")))
 
 
 @query("SELECT count(*) AS total, round_even(count(*) * 0.9, 0)::BIGINT AS train, round_even(count(*) * 0.05, 0)::BIGINT AS validation, count(*) - round_even(count(*) * 0.9, 0)::BIGINT - round_even(count(*) * 0.05, 0)::BIGINT AS test FROM merged_dataset")
@@ -414,6 +454,18 @@ WITH u AS (SELECT record_id, split AS part, {sql_n3('question')} AS k FROM split
 """
 
 
+@query(_PARTS + "SELECT part, record_id AS rid, min(record_id) OVER (PARTITION BY part, k) AS representative FROM p")
+def text_membership(spark, d):
+    """The representative of every row's text in its part: pairs of texts are pairs of representatives."""
+    rows = None
+    for name, df in parts(spark, d).items():
+        own = leakage.keyed(df)
+        first = own.groupBy("key").agg(F.min("rid").alias("representative"))
+        part = own.join(first, "key").select(F.lit(name).alias("part"), "rid", "representative")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query(_PARTS + """, l AS (SELECT k, min(record_id) AS left_id, count(*) AS left_copies FROM p WHERE part = 'train' GROUP BY k),
  r AS (SELECT k, min(record_id) AS right_id, count(*) AS right_copies FROM p WHERE part = 'test' GROUP BY k)
 SELECT left_id, right_id, left_copies, right_copies, left_copies * right_copies AS pairs FROM l JOIN r USING (k)""")

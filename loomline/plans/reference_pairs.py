@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.text import clean_text, key_with_marks
 from loomline.operators import dedup, examples, groups, leakage, sampling, similarity
 from loomline.plans.reference_core import merged, parts, sql_clean, sql_default, sql_n3
-from loomline.session import durable, table
+from loomline.session import durable, scratch_path, table
+from loomline.sources import jsonl
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,7 +59,8 @@ _NEAR = _VALIDATION + ", pairs AS (SELECT a.rid AS a, b.rid AS b, sum(a.w * b.w)
 
 def _cross_sql(left: str, right: str, threshold: float, least: int) -> str:
     both = _classes_sql(left, "2 * min(record_id)", least) + " UNION ALL " + _classes_sql(right, "2 * min(record_id) + 1", least)
-    return _tfidf_sql(both) + f", pairs AS (SELECT a.rid // 2 AS a, b.rid // 2 AS b, sum(a.w * b.w) AS similarity FROM p a JOIN p b ON a.gram = b.gram WHERE a.rid % 2 = 0 AND b.rid % 2 = 1 GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {threshold} - 1e-9)"
+    met = f"SELECT a.rid AS x, b.rid AS y, sum(a.w * b.w) AS similarity FROM p a JOIN p b ON a.gram = b.gram WHERE a.rid % 2 = 0 AND b.rid % 2 = 1 GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {threshold} - 1e-9"
+    return _tfidf_sql(both) + f", met AS ({met}), pairs AS (SELECT x // 2 AS a, y // 2 AS b, similarity, u.copies AS a_copies, v.copies AS b_copies FROM met JOIN t u ON u.rid = x JOIN t v ON v.rid = y)"
 
 
 _TRAIN, _TEST = "(SELECT * FROM splits WHERE split = 'train')", "(SELECT * FROM splits WHERE split = 'test')"
@@ -88,20 +91,20 @@ def merged_near_pairs_090(spark, d):
     return similarity.near_pairs(merged(spark, d), slack=WHOLE_TABLE_SLACK).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
-@query(_cross_sql("validation", _TEST, 0.85, 1) + "SELECT a, b, round(similarity, 4) AS similarity FROM pairs ORDER BY round(similarity, 9) DESC, a, b LIMIT 50")
+@query(_cross_sql("validation", _TEST, 0.85, 1) + "SELECT a, b, round(similarity, 4) AS similarity, a_copies, b_copies FROM pairs ORDER BY round(similarity, 9) DESC, a, b LIMIT 50")
 def cross_pairs_085_top50(spark, d):
     p = parts(spark, d)
     pairs = similarity.cross_pairs(p["validation"], p["test"], 0.85)
-    return pairs.orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(50).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return pairs.orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(50).select("a", "b", F.round("similarity", 4).alias("similarity"), "a_copies", "b_copies")
 
 
-@query(_cross_sql(_TRAIN, "validation", 0.9, 20) + ", r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(similarity, 9) DESC, a)::INT AS rank FROM pairs) SELECT a, b, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 5")
+@query(_cross_sql(_TRAIN, "validation", 0.9, 20) + ", r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(similarity, 9) DESC, a)::INT AS rank FROM pairs) SELECT a, b, round(similarity, 4) AS similarity, a_copies, b_copies, rank FROM r WHERE rank <= 5")
 def cross_knn_train_validation(spark, d):
     p = parts(spark, d)
-    return similarity.nearest(similarity.cross_pairs(p["train"], p["validation"], 0.9, least=20)).select("a", "b", F.round("similarity", 4).alias("similarity"), "rank")
+    return similarity.nearest(similarity.cross_pairs(p["train"], p["validation"], 0.9, least=20)).select("a", "b", F.round("similarity", 4).alias("similarity"), "a_copies", "b_copies", "rank")
 
 
-@query(_cross_sql(_TRAIN, _TEST, 0.9, 20) + "SELECT t.x AS threshold, (SELECT count(*) FROM pairs WHERE similarity >= t.x - 1e-9) AS pairs FROM (VALUES (0.98::DOUBLE), (0.95::DOUBLE), (0.90::DOUBLE)) t(x)")
+@query(_cross_sql(_TRAIN, _TEST, 0.9, 20) + "SELECT t.x AS threshold, (SELECT count(*) FROM pairs WHERE similarity >= t.x - 1e-9) AS texts, (SELECT coalesce(sum(a_copies * b_copies), 0)::BIGINT FROM pairs WHERE similarity >= t.x - 1e-9) AS pairs FROM (VALUES (0.98::DOUBLE), (0.95::DOUBLE), (0.90::DOUBLE)) t(x)")
 def threshold_counts(spark, d):
     p = parts(spark, d)
     return similarity.threshold_counts(similarity.cross_pairs(p["train"], p["test"], 0.9, least=20))
@@ -112,7 +115,7 @@ def _audit_sql() -> str:
     names, rows = list(sides), []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            counts = ", ".join(f"count(*) FILTER (similarity >= {t} - 1e-9) AS near_{round(100 * t)}" for t in (0.98, 0.95, 0.90))
+            counts = ", ".join(f"coalesce(sum(a_copies * b_copies) FILTER (similarity >= {t} - 1e-9), 0)::BIGINT AS near_{round(100 * t)}" for t in (0.98, 0.95, 0.90))
             exact = f"(SELECT count(*) FROM (SELECT {sql_n3('question')} AS k FROM {sides[a]} INTERSECT SELECT {sql_n3('question')} FROM {sides[b]}) WHERE k <> '')"
             rows.append(f"SELECT '{a}' AS left_part, '{b}' AS right_part, {exact} AS exact_keys, near.* FROM ({_cross_sql(sides[a], sides[b], 0.9, 20)} SELECT {counts} FROM pairs) near")
     return "SELECT *, exact_keys + near_90 = 0 AS passed FROM (" + " UNION ALL ".join(rows) + ")"
@@ -124,7 +127,7 @@ def leakage_audit(spark, d):
     names = list(p)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            near = similarity.cross_pairs(p[a], p[b], 0.9, least=20).agg(*(F.count_if(F.col("similarity") >= t - similarity.EPSILON).alias(f"near_{round(100 * t)}") for t in (0.98, 0.95, 0.90)))
+            near = similarity.cross_pairs(p[a], p[b], 0.9, least=20).agg(*(similarity.row_pairs(t).alias(f"near_{round(100 * t)}") for t in (0.98, 0.95, 0.90)))
             row = near.select(F.lit(a).alias("left_part"), F.lit(b).alias("right_part"), "*")
             result = row if result is None else result.unionByName(row)
     exact = leakage.overlap_summary(p).withColumnRenamed("keys", "exact_keys")
@@ -238,7 +241,7 @@ def group_split_v3(spark, d):
     return groups.greedy_split(labelled(spark, d), groups.GREEDY_V3)
 
 
-@query("SELECT count(*) AS total, count(*) AS assigned, 0::BIGINT AS assigned_twice, 0::BIGINT AS divided_groups, true AS holds FROM merged_dataset")
+@query()
 def group_split_invariants(spark, d):
     return sampling.split_invariants(merged(spark, d), groups.group_stratified_split(labelled(spark, d)), "record_id", F.col("group_id"))
 
@@ -283,9 +286,18 @@ def tokenize_mask(spark, d):
     return rows.select("rid", F.size("input_ids").alias("tokens"), ignored.alias("ignored"), "truncated", F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
-@query("SELECT record_id AS rid, '' AS problem FROM merged_dataset WHERE false")
+@query(_TOKENS + """SELECT rid, CASE WHEN n % 11 = 0 THEN 'empty' ELSE 'lengths differ' END AS problem FROM y WHERE n % 11 = 0 OR n % 7 = 0""")
 def token_contract(spark, d):
-    return examples.contract_violations(_examples(spark, d))
+    """The contract over examples into which faults were put: arrays emptied or cut, by their length."""
+    n = F.size("input_ids")
+    faulty = _examples(spark, d).select("rid", F.when(n % 11 != 0, F.col("input_ids")).alias("input_ids"), F.when((n % 7 == 0) & (n % 2 == 0), F.slice("attention_mask", 2, 1 << 30)).otherwise(F.col("attention_mask")).alias("attention_mask"), F.when((n % 7 == 0) & (n % 2 == 1), F.slice("labels", 2, 1 << 30)).otherwise(F.col("labels")).alias("labels"))
+    return examples.contract_violations(faulty)
+
+
+@query(_TOKENS + "SELECT rid, n::INT AS tokens, n::INT AS trained, list_sum(ids)::BIGINT AS label_sum FROM y")
+def unmasked_labels(spark, d):
+    rows = examples.unmasked(_examples(spark, d))
+    return rows.select("rid", F.size("input_ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != examples.IGNORED)).alias("trained"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"))
 
 
 @query(_TOKENS + "SELECT count(*) AS examples, count(*) FILTER (n >= 512) AS truncated, sum(n)::BIGINT AS tokens, sum(n - hidden)::BIGINT AS trained, count(*) FILTER (n = hidden) AS untrained FROM y")
@@ -336,13 +348,16 @@ def longest_under_cap(spark, d):
     return examples.longest_under(_lengths(spark, d), 512)
 
 
-@query(_TOKENS + f""", z AS (SELECT y.rid, greatest(n - greatest(hidden, 1), 0) AS tokens, 1 + length({sql_clean('m.answer')}) / 1000.0 AS loss FROM y JOIN merged_dataset m ON m.record_id = y.rid),
- a AS (SELECT sum(loss * tokens) / sum(tokens) AS w, avg(loss) AS p, sum(tokens)::BIGINT AS tokens FROM z WHERE tokens > 0)
+_LOSSES = "SELECT l_linestatus AS part, l_tax * 100 AS loss, l_quantity::BIGINT - 1 AS tokens FROM lineitem"
+
+
+@query(f"""WITH z AS ({_LOSSES}), a AS (SELECT sum(loss * tokens) / sum(tokens) AS w, avg(loss) AS p, sum(tokens)::BIGINT AS tokens FROM z WHERE tokens > 0
+ UNION ALL SELECT sum(loss * tokens) / sum(tokens), avg(loss), sum(tokens)::BIGINT FROM z WHERE tokens > 0 AND part = 'none')
 SELECT round(w, 6) AS weighted_loss, round(p, 6) AS mean_loss, tokens, CASE WHEN w < 50 THEN round(exp(w), 4) END AS perplexity FROM a""")
 def weighted_loss(spark, d):
-    # stands for a model's loss per example; any (rid, loss, tokens) table will do
-    loss = merged(spark, d).select(F.col("record_id").alias("rid"), (1 + F.length(clean_text("answer")) / 1000.0).alias("loss"))
-    return examples.weighted_loss(_examples(spark, d).select("rid", examples.trained_positions().alias("tokens")).join(loss, "rid"))
+    """Losses of a table with rows without tokens, and those of no row at all."""
+    losses = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("part"), (F.col("l_tax") * 100).alias("loss"), (F.col("l_quantity").cast("bigint") - 1).alias("tokens"))
+    return examples.weighted_loss(losses).unionByName(examples.weighted_loss(losses.filter("part = 'none'")))
 
 
 @query("SELECT ceil(count(*) / 8)::BIGINT AS updates_per_epoch, (ceil(count(*) / 8) * 2)::BIGINT AS updates, floor(ceil(count(*) / 8) * 2 * 0.03)::BIGINT AS warm_up_updates FROM splits WHERE split = 'train'")
@@ -350,12 +365,12 @@ def lr_schedule(spark, d):
     return table(spark, d, "splits").filter("split = 'train'").agg(F.count("*").alias("n")).select(examples.schedule(F.col("n")).alias("s")).select("s.*")
 
 
-@query(f"SELECT {sql_default('category', 'Other')} AS category, count(*) AS user_turns FROM merged_dataset GROUP BY 1")
+@query(f"SELECT {sql_default('category', 'Other')} AS category, count(*) AS user_turns, count(nullif(answer, '')) AS answered FROM merged_dataset GROUP BY 1")
 def user_question_count(spark, d):
     from loomline.functions.text import or_default
 
     turns = merged(spark, d).select(or_default("category", "Other").alias("category"), F.explode(examples.chat_messages(F.col("question"), F.col("answer"))).alias("m"))
-    return turns.groupBy("category").agg(F.count_if(F.col("m.role") == "user").alias("user_turns"))
+    return turns.groupBy("category").agg(F.count_if(F.col("m.role") == "user").alias("user_turns"), F.count_if((F.col("m.role") == "assistant") & (F.col("m.content") != "")).alias("answered"))
 
 
 @query("SELECT record_id, question, answer AS reference_answer, upper(coalesce(question, '')) AS base_answer, reverse(coalesce(question, '')) AS tuned_answer FROM validation")
@@ -365,8 +380,86 @@ def generation_compare(spark, d):
     return examples.generated(base, lambda: lambda texts: [t[::-1] for t in texts], "question", "tuned_answer")
 
 
-@query("SELECT count(*) AS records, count(*) FILTER (question IS NOT NULL) AS with_question FROM merged_dataset")
+# ---- JSON lines: written to a scratch folder and read back --------------------
+
+_LINE = "record_id bigint, question string, answer string, category string"
+_RECORDS = "record_id, md5(question) AS question, md5(answer) AS answer"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return merged(spark, d).select("record_id", "question", "answer", "category")
+
+
+def _written(spark: SparkSession, df: DataFrame, partition: str | None = None) -> str:
+    path = scratch_path(spark)
+    jsonl.write_jsonl(df, path, partition)
+    return path
+
+
+def _dirty(spark: SparkSession, d: str) -> str:
+    """Every record, a broken line for each without category, a list for each without source, a blank one for each without answer."""
+    rows = merged(spark, d)
+    good = rows.select(F.to_json(F.struct("record_id", "question", "answer", "category"), {"ignoreNullFields": "false"}).alias("line"))
+    bad = [(rows.filter("category is null"), '{"record_id": 1, "question"'), (rows.filter("source is null"), "[1, 2]"), (rows.filter("answer is null"), " \t")]
+    path = scratch_path(spark)
+    for df, line in bad:
+        good = good.unionByName(df.select(F.lit(line).alias("line")))
+    good.write.text(path)
+    return path
+
+
+@query(f"SELECT {_RECORDS} FROM merged_dataset")
 def json_roundtrip(spark, d):
-    schema = "record_id bigint, question string, answer string"
-    rows = merged(spark, d).select(F.to_json(F.struct("record_id", "question", "answer")).alias("line"))
-    return rows.select(F.from_json("line", schema).alias("r")).agg(F.count("r.record_id").alias("records"), F.count("r.question").alias("with_question"))
+    records = jsonl.read_strict(spark, _written(spark, _lines(spark, d)), _LINE)
+    return records.select("record_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query("SELECT count(*) + count(*) FILTER (category IS NULL) + count(*) FILTER (source IS NULL) + count(*) FILTER (answer IS NULL) AS total, count(*) FILTER (answer IS NULL) AS blank, count(*) FILTER (category IS NULL) + count(*) FILTER (source IS NULL) AS invalid, count(*) AS valid FROM merged_dataset")
+def jsonl_line_counts(spark, d):
+    return jsonl.line_counts(spark, _dirty(spark, d), _LINE).agg(*(F.sum(c).alias(c) for c in ("total", "blank", "invalid", "valid")))
+
+
+@query(f"SELECT {_RECORDS} FROM merged_dataset")
+def jsonl_lenient(spark, d):
+    return jsonl.read_lenient(spark, _dirty(spark, d), _LINE).select("record_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+@query("SELECT 0::BIGINT AS records")
+def jsonl_missing_is_empty(spark, d):
+    return jsonl.read_or_empty(spark, scratch_path(spark), _LINE).agg(F.count("*").alias("records"))
+
+
+@query("SELECT count(*) AS records FROM merged_dataset")
+def jsonl_exact_rows(spark, d):
+    rows = _lines(spark, d)
+    return jsonl.read_exactly(spark, _written(spark, rows), _LINE, rows.count()).agg(F.count("*").alias("records"))
+
+
+@query("SELECT coalesce(category, '__HIVE_DEFAULT_PARTITION__') AS category, count(*) AS records FROM (SELECT nullif(category, '') AS category FROM merged_dataset) GROUP BY 1")
+def jsonl_partitioned(spark, d):
+    path = _written(spark, _lines(spark, d).withColumn("category", F.nullif("category", F.lit(""))), "category")
+    return spark.read.schema("record_id bigint, category string").json(path).groupBy(F.coalesce("category", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("category")).agg(F.count("*").alias("records"))
+
+
+@query("SELECT true AS refused, count(*) AS records FROM merged_dataset")
+def jsonl_overwrite_guard(spark, d):
+    path = _written(spark, _lines(spark, d))
+    try:
+        jsonl.write_jsonl(_lines(spark, d).filter("false"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return jsonl.read_strict(spark, path, _LINE).agg(F.lit(refused).alias("refused"), F.count("*").alias("records"))
+
+
+@query("SELECT source, records FROM (SELECT 'splits' AS source, count(*) AS records FROM splits UNION ALL SELECT 'validation', count(*) FROM validation)")
+def jsonl_union(spark, d):
+    paths = [_written(spark, table(spark, d, name).select("record_id", "question")) for name in ("splits", "validation")]
+    rows = jsonl.read_union(spark, [*paths, scratch_path(spark)], "record_id bigint, question string")
+    names = F.when(F.col("file") == 0, "splits").otherwise("validation")
+    return rows.groupBy(names.alias("source")).agg(F.count("*").alias("records"))
+
+
+@query("SELECT record_id, md5(question) AS question FROM merged_dataset ORDER BY record_id LIMIT 20")
+def first_twenty(spark, d):
+    return jsonl.first_rows(merged(spark, d), "record_id", 20).select("record_id", F.md5("question").alias("question"))

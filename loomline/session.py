@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,21 +13,30 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a folder below the
-    SQL warehouse chosen instead, so that nothing lands on a machine-local
-    temporary path of a cluster node.
+    Only a local session (tests, a laptop) may leave that setting out; it gets a
+    folder below the SQL warehouse. On a cluster a missing setting is an error,
+    because no other folder is known to be shared.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    set_already = context._jsc.sc().getCheckpointDir()
+    if set_already.isDefined():
+        return set_already.get()
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         named = os.path.join(warehouse, "_checkpoints")
     context.setCheckpointDir(named)
+    return named
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

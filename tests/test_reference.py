@@ -79,7 +79,7 @@ def test_drop_reasons_in_order(spark):
     ok = "x" * 30
     data = [(1, None, ok), (2, " ", None), (3, "q", None), (4, "q", "y" * 29), (5, "q", ok), (6, "Q!", ok), (7, "?", ok), (8, "!", ok)]
     df = spark.createDataFrame(data, "record_id bigint, question string, answer string")
-    assert rows(dedup.drop_reasons(df)) == [("duplicate", 1), ("kept", 3), ("missing answer", 1), ("missing question", 2), ("short answer", 1)]
+    assert rows(dedup.drop_reasons(df)) == [("duplicate", 2), ("kept", 2), ("missing answer", 1), ("missing question", 2), ("short answer", 1)]
 
 
 def test_split_sizes_by_rounding_rules(spark):
