@@ -73,11 +73,13 @@ _NAME_TO_LANGUAGE = {name: lang for lang, names in LANGUAGE_NAMES.items() for na
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 
 
-def is_empty(answer: str | None) -> bool:
-    """Null, blank, only marks or markup, or a placeholder."""
+def is_empty(answer: str | None, said: list[str] | None = None) -> bool:
+    """Null, blank, only marks or markup, or a placeholder. ``said``: the words of the answer, if known."""
     if answer is None:
         return True
-    text = "".join(words(_TAG.sub("", answer) if "<" in answer else answer))
+    if said is None or "<" in answer:
+        said = words(_TAG.sub("", answer) if "<" in answer else answer)
+    text = "".join(said)
     return not text or text in PLACEHOLDERS
 
 
@@ -104,14 +106,15 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """Declines, and what else it says is too short to be an answer."""
-    text = compose(answer).lower().replace("’", "'")
-    if not _REFUSAL.search(text) or "```" in text:
+    """Declines in one of its first two sentences, and what else it says is too short to be an answer."""
+    text = compose(answer).lower().replace("’", "'").strip()
+    first = [p for p in _SENTENCE_END.split(text, maxsplit=2) if p][:2]
+    if not any(_REFUSAL.search(p) for p in first) or "```" in text:
         return False
-    parts = [p for p in _SENTENCE_END.split(text.strip()) if p]
+    parts = [p for p in _SENTENCE_END.split(text) if p]
     declining = [bool(_REFUSAL.search(p)) for p in parts]
     rest = sum(len(words(p)) for p, d in zip(parts, declining) if not d)
-    return True in declining[:2] and rest <= 12 and max(len(words(p)) for p, d in zip(parts, declining) if d) <= 24
+    return rest <= 12 and max(len(words(p)) for p, d in zip(parts, declining) if d) <= 24
 
 
 def cut_mark(answer: str) -> bool | None:
@@ -190,9 +193,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = True
             asked = words(question)
             if asked:
-                if is_empty(answer):
+                said = words(answer)
+                if is_empty(answer, said):
                     defect = rule = "empty"
-                elif is_copy(asked, said := words(answer)):
+                elif is_copy(asked, said):
                     defect = rule = "copy"
                 elif is_refusal(answer):
                     defect = rule = "refusal"
