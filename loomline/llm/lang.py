@@ -21,16 +21,13 @@ for _lang, _words in FUNCTION_WORDS.items():
 def language_scores(words: list[str]) -> dict[str, float]:
     """Evidence for each language: function words (shared ones count less) and letters."""
     scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in words:
-        langs = _BY_WORD.get(w)
-        if langs:
-            for lang in langs:
-                scores[lang] += 1.0 / len(langs)
-        if not w.isascii():
-            for c in w:
-                lang = _BY_LETTER.get(c)
-                if lang:
-                    scores[lang] += 0.5
+    for langs in map(_BY_WORD.__getitem__, filter(_BY_WORD.__contains__, words)):
+        for lang in langs:
+            scores[lang] += 1.0 / len(langs)
+    letters = "".join(words)
+    if not letters.isascii():
+        for lang in map(_BY_LETTER.__getitem__, filter(_BY_LETTER.__contains__, letters)):
+            scores[lang] += 0.5
     return scores
 
 
