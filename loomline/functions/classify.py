@@ -109,7 +109,7 @@ def scored_topic(text: Column, table: dict[str, list[str]] | None = None, defaul
     table = SCORED_TOPICS if table is None else table
 
     def best(t: Column) -> Column:
-        scores = [F.struct(F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(t, k))).alias("score"), F.lit(-i).alias("rank"), F.lit(topic).alias("topic")) for i, (topic, keywords) in enumerate(table.items())]
+        scores = [F.struct(reduce(Column.__add__, (F.contains(t, F.lit(k)).cast("int") for k in keywords), F.lit(0)).alias("score"), F.lit(-i).alias("rank"), F.lit(topic).alias("topic")) for i, (topic, keywords) in enumerate(table.items())]
         return F.array_max(F.array(*scores))
 
     return bound(bound(text, best), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise(default))
