@@ -14,13 +14,22 @@ training texts.
   word breaks at most one passage, so at least ``passages - d`` of them occur
   verbatim in its form. That bound prunes the rest; no partner above the
   threshold can be lost.
-* Equal evaluation questions are one class. Classes are dealt into shards of
-  about ``EVAL_SHARD``; the automaton of a shard is built once, by one task, and
-  broadcast in its finished form (bounded by the shard). Training texts are
-  neither moved nor copied: each is normalised and scanned where it is read, by
-  the automata of ``SHARDS_PER_PASS`` shards in one pass. A worker keeps the
-  result of texts it has seen, so a question that fills a third of the training
-  rows is scanned once per worker.
+* Equal evaluation questions are one class, equal training questions one text.
+* Routing: if every automaton scanned every training text, the cost would be the
+  product of both sides. So only texts are brought together that share a
+  signature. Words are ordered by their frequency, rarest first (any one order is
+  right; this one makes few meet). Two partners share ``c`` words or more, so the
+  ``k`` rarest of these stand among the first ``n - c + k`` words of either: all
+  ``k``-subsets of these words are the signatures of a text (``k``: 3, of long
+  texts 2 or 1). ``c`` is larger if the partner is the longer one, so there are
+  signatures for longer and for shorter partners. The form key is one more. No
+  partner is lost. Signatures of the evaluation side go into Bloom filters, merged
+  and sharded by signature; those of training texts that no filter holds are
+  dropped where they are made. A filter of the rest cuts down the evaluation side,
+  and the two rests are joined, without words: a pair goes on if 64-bit maps of
+  its words differ in no more bits than partners differ in words.
+* The automaton of up to ``EVAL_SHARD`` classes that have met a training text
+  is built by the task that scans these texts, and dropped with it.
 * The intervals of an evaluation question that matched are merged into its
   coverage; an exact check of the word sets follows.
 
@@ -35,26 +44,33 @@ scanned whole; other columns of the input are not read.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm import bloom
 from loomline.llm.keys import form_key, key_digest, word_code, words
 from loomline.session import durable
 
 #: Shared distinct words / all distinct words, as a fraction.
 SHARED, OF = 3, 4
 EVAL_SHARD = 40_000
-SHARDS_PER_PASS = 4
-#: Texts whose matches a worker remembers.
-REMEMBERED = 100_000
+#: (most words of the shorter text, words of a signature).
+SIGNED = ((40, 3), (100, 2), (1 << 62, 1))
+#: Bits of a filter a signature, and most bits of a filter.
+BITS_PER_SIGNATURE, FILTER_BITS = 12, 1 << bloom.MAX_LOG_BITS
+#: Words whose frequency orders them; the others stand before these, by their codes.
+ORDERED = 100_000
+#: Signatures made at once.
+AT_ONCE = 1 << 20
 
 
 class Former:
@@ -113,7 +129,7 @@ def merged_length(intervals: list[tuple[int, int]]) -> int:
 
 
 class EvaluationShard:
-    """Automaton over the passages of evaluation classes; can be pickled."""
+    """Automaton over the passages of evaluation classes."""
 
     def __init__(self, classes: list[tuple[bytes, bytes | None, list[int]]]):
         """classes: (text digest, key digest, sorted codes of the distinct words)."""
@@ -178,32 +194,172 @@ class EvaluationShard:
         return result
 
 
-def _scanned(shared):
+def _width(n: int) -> int:
+    """Words of a signature where the shorter text has ``n`` words."""
+    return min(n, next(k for most, k in SIGNED if n <= most))
+
+
+def signature_words(n: int, train: bool) -> list[tuple[int, int, int]]:
+    """(tag, words of a signature, first words that they come from) of an ``n``-word text.
+
+    Tag 0 is for pairs whose training text is not the shorter one, 1 for the others.
+    """
+    least, both = -(-n * SHARED // OF), OF + SHARED
+    # partners that are shorter (or as long), the shortest of ``least`` words, have ``least`` words in common with it
+    most = n if train else n - 1
+    widths = {_width(x) for x in (least, most, *(t + i for t, _ in SIGNED for i in (0, 1))) if least <= x <= most}
+    outer = [(1 - train, k, n - least + k) for k in sorted(widths)]
+    # partners that are longer (or as long)
+    longer = n + train
+    inner = [(int(train), _width(n), n + _width(n) - -(-SHARED * (n + longer) // both))] if OF * n >= SHARED * longer else []
+    return outer + inner
+
+
+@lru_cache(maxsize=2000)
+def _subsets(k: int, of: int) -> np.ndarray:
+    return np.array(list(combinations(range(of), k)), np.int32).T
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def signatures(keys: list[bytes | None], flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, counts: np.ndarray, train: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, signature) of texts, in parts.
+
+    flat, sizes: their forms one after the other and the words of each; codes,
+    counts: the ordered words, by code, and their frequencies. Signatures of
+    keys are odd, those of words even.
+    """
+    held = [(i, int.from_bytes(key[:8], "little")) for i, key in enumerate(keys) if key is not None]
+    yield np.array([i for i, _ in held], np.int64), _mixed(np.array([key for _, key in held], np.uint64)) | np.uint64(1)
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        subsets = [(k + 8 * tag, _subsets(k, of)) for tag, k, of in signature_words(n, train)]
+        step = max(1, AT_ONCE // max(n, *(x.shape[1] for _, x in subsets)))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            words_ = flat[starts[part][:, None] + np.arange(n)]
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, words_), len(codes) - 1)
+                often = np.where(codes[at] == words_, counts[at], 0)
+                # words are in the order of their codes already
+                words_ = np.take_along_axis(words_, np.argsort(often, axis=1, kind="stable"), axis=1)
+            words_ = words_.view(np.uint64)
+            for seed, subset in subsets:
+                value = np.full((len(part), subset.shape[1]), seed, np.uint64)
+                for places in subset:
+                    value = _mixed(value + words_[:, places])
+                yield np.repeat(part, subset.shape[1]), value.ravel() & ~np.uint64(1)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    lists = batch.column("words")
+    return batch.column("key").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _of_shard(found: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    return (found >> np.uint64(32)) % np.uint64(shards) == shard
+
+
+def _codes(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two codes under which a filter holds a signature: four bits."""
+    return signature, _mixed(signature + np.uint64(1))
+
+
+def _noted(order, shard: int, shards: int):
+    """Codes for the filter of a shard of signatures; with no shard, the count of signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [pickle.loads(x) for x in shared.value]
-        former, known = Former(), {}
         for batch in batches:
-            ids, found = [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, digest, form = former.form(text)
-                if not form:
-                    continue
-                if (matches := known.get(digest)) is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    matches = known[digest] = [x for shard in shards for x in shard.scan(key, form)]
-                ids += [ident] * len(matches)
-                found += matches
-            texts, coverage, similarity = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(coverage, pa.float64()), pa.array(similarity, pa.float64())], names=["train_id", "text", "coverage", "similarity"])
+            if len(batch):
+                for _, found in signatures(*_columns(batch), *order.value, False):
+                    if shard < 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], names=["code"])
+                    else:
+                        own = np.unique(found[_of_shard(found, shard, shards)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_codes(own)).view(np.int64))], names=["code"])
 
     return run
 
 
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pickled automaton of one shard of classes."""
-    shard = EvaluationShard([(t, k, [int(c) for c in w]) for t, k, w in zip(pdf["text"], pdf["key"], pdf["words"])])
-    return pd.DataFrame({"shard": [pickle.dumps(shard, pickle.HIGHEST_PROTOCOL)]})
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_codes(own)).view(np.int64))], names=["code"])
+
+
+MET = "text binary, size int, map bigint, signatures array<bigint>"
+
+
+def _met(order, shared, shard: int, shards: int, train: bool):
+    """Texts with those of their signatures that the filter of a shard holds; without any they are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, flat, sizes = _columns(batch)
+            rows, kept = [], []
+            for row, found in signatures(keys, flat, sizes, *order.value, train):
+                own = np.flatnonzero(_of_shard(found, shard, shards))
+                for which in (0, 1):
+                    own = own[bloom.contains(bits, _codes(found[own])[which])]
+                rows.append(row[own])
+                kept.append(found[own])
+            rows, kept = np.concatenate(rows), np.concatenate(kept)
+            held, n = np.unique(rows, return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(kept[np.argsort(rows, kind="stable")].view(np.int64)))
+            maps = np.bitwise_or.reduceat(np.uint64(1) << (flat.view(np.uint64) & np.uint64(63)), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("text").take(pa.array(held, pa.int64())), pa.array(sizes[held], pa.int32()), pa.array(maps[held].view(np.int64)), lists], names=["text", "size", "map", "signatures"])
+
+    return run
+
+
+def _wanted(shared):
+    """Rows whose code the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _codes(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(bloom.contains(shared.value, codes[0]) & bloom.contains(shared.value, codes[1])))
+
+    return run
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches among (train_text, train_key, train_words, text, key, words), each pair of texts once."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys, forms, own_keys, own_forms = (batch.column(c).to_pylist() for c in ("train_key", "train_words", "key", "words"))
+        meets: dict[bytes, list[int]] = {}
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            meets.setdefault(text, []).append(i)
+        trained = batch.column("train_text").to_pylist()
+        found = []
+        classes = list(meets)
+        for start in range(0, len(classes), EVAL_SHARD):
+            own = classes[start : start + EVAL_SHARD]
+            shard = EvaluationShard([(t, own_keys[meets[t][0]], own_forms[meets[t][0]]) for t in own])
+            partners: dict[bytes, tuple[int, set[bytes]]] = {}
+            for t in own:
+                for i in meets[t]:
+                    partners.setdefault(trained[i], (i, set()))[1].add(t)
+            for train_text, (i, wanted) in partners.items():
+                # what another batch holds is found there
+                found += [(train_text, *match) for match in shard.scan(keys[i], forms[i]) if match[0] in wanted]
+        left, right, coverage, similarity = zip(*found) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(coverage, pa.float64()), pa.array(similarity, pa.float64())], names=["train_text", "text", "coverage", "similarity"])
+
+
+def _filter(codes: DataFrame, n: int):
+    """Broadcast filter of ``n`` signatures given by their codes."""
+    most = max(bloom.MIN_LOG_BITS, FILTER_BITS.bit_length() - 1)
+    return codes.sparkSession.sparkContext.broadcast(bloom.merged_filter(codes, "code", min(most, bloom.log_bits_for(n, BITS_PER_SIGNATURE)), "seen"))
 
 
 def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str = "record_id", text_column: str = "question", kept: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -215,24 +371,38 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_column: str
     """
     rows = evaluation.select(F.col(id_column).cast("bigint").alias("eval_id"), F.col(text_column).cast("string").alias("question"), *(F.col(c).cast("string").alias(f"kept_{i}") for i, c in enumerate(kept)))
     schema = "eval_id bigint, " + "".join(f"kept_{i} string, " for i in range(len(kept))) + "key binary, text binary, words array<bigint>"
-    # ids, digests and word codes of the evaluation side alone
-    forms = durable(rows.mapInArrow(_forms, schema))
+    spark = train.sparkSession
+    forms = rows.mapInArrow(_forms, schema)
     members = forms.select("eval_id", "text", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)))
+    # digests and word codes of the evaluation side alone
     classes = durable(forms.filter("text is not null").groupBy("text").agg(F.first("key").alias("key"), F.first("words").alias("words")))
-    n = classes.count()
-    shards = max(1, -(-n // EVAL_SHARD))
+    often = classes.select(F.explode("words").alias("code")).groupBy("code").count().filter("count > 1").orderBy(F.desc("count"), "code").limit(ORDERED)
+    ordered = np.array(sorted(tuple(r) for r in often.collect()), np.int64).reshape(-1, 2)
+    order = spark.sparkContext.broadcast((ordered[:, 0].copy(), ordered[:, 1].copy()))
+    n = classes.mapInArrow(_noted(order, -1, 1), "code bigint").agg(F.sum("code")).first()[0] or 0
+    shards = max(1, -(-n * BITS_PER_SIGNATURE // FILTER_BITS))
     questions = train.select(F.col(id_column).cast("bigint").alias("train_id"), F.col(text_column).cast("string").alias("question"))
-    matches = None
-    for start in range(0, shards if n else 0, SHARDS_PER_PASS):
-        own = classes.withColumn("home", F.pmod(F.xxhash64("text"), F.lit(shards))).filter((F.col("home") >= start) & (F.col("home") < start + SHARDS_PER_PASS))
-        # finished automata of EVAL_SHARD classes each, SHARDS_PER_PASS of them
-        built = [bytes(r[0]) for r in own.groupBy("home").applyInPandas(_built, "shard binary").collect()]
-        shared = train.sparkSession.sparkContext.broadcast(built)
-        part = questions.mapInArrow(_scanned(shared), "train_id bigint, text binary, coverage double, similarity double")
-        matches = part if matches is None else matches.unionByName(part)
-    if matches is None:
-        matches = train.sparkSession.createDataFrame([], "train_id bigint, text binary, coverage double, similarity double")
-    return matches, members
+    # ids, digests and word codes of the training side
+    texts = durable(questions.mapInArrow(_forms, "eval_id bigint, key binary, text binary, words array<bigint>").filter("text is not null").withColumnRenamed("eval_id", "train_id"))
+    signed = None
+    for shard in range(shards):
+        shared = _filter(classes.mapInArrow(_noted(order, shard, shards), "code bigint"), -(-n // shards))
+        part = durable(texts.select("text", "key", "words").mapInArrow(_met(order, shared, shard, shards, True), MET).dropDuplicates(["text"]).select(F.xxhash64("text").alias("train_code"), F.col("size").alias("train_size"), F.col("map").alias("train_map"), "signatures"))
+        shared.unpersist()
+        part = part.select("train_code", "train_size", "train_map", F.explode("signatures").alias("signature"))
+        signed = part if signed is None else signed.unionByName(part)
+    shared = _filter(signed.select(F.col("signature").alias("code")).mapInArrow(_again, "code bigint"), signed.count())
+    own = classes.mapInArrow(_met(order, shared, 0, 1, False), MET).select(F.xxhash64("text").alias("code"), "size", "map", F.explode("signatures").alias("signature"))
+    words_fit = (OF * F.col("size") >= SHARED * F.col("train_size")) & (OF * F.col("train_size") >= SHARED * F.col("size")) & ((OF + SHARED) * F.bit_count(F.col("map").bitwiseXOR(F.col("train_map"))) <= (OF - SHARED) * (F.col("size") + F.col("train_size")))
+    # codes of texts
+    meetings = durable(signed.join(own, "signature").filter((F.col("signature").bitwiseAND(1) == 1) | words_fit).select("train_code", "code").distinct())
+    shared.unpersist()
+    wanted = _filter(meetings.select(F.col("train_code").alias("code")).mapInArrow(_again, "code bigint"), meetings.count())
+    texts = texts.withColumn("code", F.xxhash64("text")).mapInArrow(_wanted(wanted), "train_id bigint, key binary, text binary, words array<bigint>, code bigint")
+    trained = texts.groupBy(F.col("text").alias("train_text")).agg(F.first("code").alias("train_code"), F.first("key").alias("train_key"), F.first("words").alias("train_words"))
+    pairs = meetings.join(trained, "train_code").join(classes.withColumn("code", F.xxhash64("text")), "code")
+    found = pairs.select("train_text", "train_key", "train_words", "text", "key", "words").mapInArrow(_scanned, "train_text binary, text binary, coverage double, similarity double")
+    return found.join(texts.select("train_id", F.col("text").alias("train_text")), "train_text").select("train_id", "text", "coverage", "similarity"), members
 
 
 def expanded_pairs(matches: DataFrame, members: DataFrame) -> DataFrame:

@@ -246,6 +246,54 @@ def test_shards_and_passes_find_the_same(spark, data, monkeypatch):
     assert whole and rows(overlaps(splits, validation)) == whole
 
 
+WORD_LISTS = st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=14) | st.integers(30, 140).flatmap(lambda n: st.integers(0, 20).map(lambda a: [f"w{i}" for i in range(a, a + n)])), min_size=1, max_size=8)
+
+
+@settings(max_examples=150, deadline=None)
+@given(WORD_LISTS, WORD_LISTS, st.dictionaries(st.sampled_from([*"abcdefghijkl", *(f"w{i}" for i in range(160))]), st.integers(2, 9)))
+def test_partners_share_a_signature(left, right, counts):
+    former = split_overlap.Former()
+    often = sorted((former.form(w)[2][0], n) for w, n in counts.items())
+    order = [np.array([x[i] for x in often], np.int64) for i in (0, 1)]
+
+    def signed(side, train):
+        forms = [former.form(" ".join(t)) for t in side]
+        flat = np.array([c for *_, form in forms for c in form], np.int64)
+        found = [set() for _ in side]
+        for row, values in split_overlap.signatures([key for key, *_ in forms], flat, np.array([len(form) for *_, form in forms]), *order, train):
+            for i, x in zip(row.tolist(), values.tolist()):
+                found[i].add(x)
+        return found
+
+    train, evaluation = signed(left, True), signed(right, False)
+    pairs = brute_overlaps(list(enumerate(map(" ".join, left))), list(enumerate(map(" ".join, right))))
+    assert all(train[a] & evaluation[b] for a, b in pairs)
+
+
+def test_training_texts_are_read_once_for_many_shards(spark, data, monkeypatch):
+    splits, validation = table(spark, data, "splits"), table(spark, data, "validation")
+    whole = rows(overlaps(splits, validation))
+    monkeypatch.setattr(split_overlap, "EVAL_SHARD", 3)
+    monkeypatch.setattr(split_overlap, "FILTER_BITS", 1 << 15, raising=False)
+    matches, members = split_overlap.cross_split_overlaps(splits, validation)
+    assert matches._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    assert whole and rows(split_overlap.expanded_pairs(matches, members)) == whole
+
+
+def test_few_texts_meet_that_are_no_partners():
+    # questions of one template: the shared words are frequent ones
+    former, rng = split_overlap.Former(), random.Random(9)
+    forms = [former.form("how can the loader of " + " ".join(f"w{rng.randrange(3000)}" for _ in range(5)) + " read the rows in order") for _ in range(3000)]
+    flat, sizes = np.array([c for *_, form in forms for c in form], np.int64), np.array([len(form) for *_, form in forms])
+    codes, counts = np.unique(flat, return_counts=True)
+    sides = []
+    for train in (True, False):
+        found = list(split_overlap.signatures([key for key, *_ in forms], flat, sizes, codes, counts, train))
+        sides.append(Counter(x for _, values in found for x in values.tolist()))
+    met = sum(n * sides[1][x] for x, n in sides[0].items())
+    assert met < 40 * len(forms)
+
+
 def test_overlaps_on_awkward_rows(spark):
     train = [(1, "data set of trees"), (2, None), (3, ""), (4, "?!"), (5, LONG), (6, "one two three four"), (6, "one two three four")]
     evaluation = [(11, "Dataset of trees!"), (12, None), (13, "_"), (14, LONG + " more"), (15, "four three two"), (16, "one")]
