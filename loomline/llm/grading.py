@@ -15,10 +15,9 @@ off to it completely). The vocabulary is three symbols at any corpus size.
   words; a band holds all grades whose centre the formula puts there.
 * Formula-seeded: each model starts with ``SEED`` symbols in the proportions of
   its grade's centre (the smoothing prior; no symbol has probability zero).
-* Trained: it adds the symbol counts of the sampled documents of its grade,
-  labelled by the formula. The sample is a hash range of about ``SAMPLE``
-  documents (a parameter), the same at every size; all other steps cover all
-  documents whole.
+* Trained: it adds the symbol counts of all documents of its grade, labelled by
+  the formula. They are summed where the texts are read, by batch and grade, so
+  only counts leave (one row a grade); grading reads the texts a second time.
 
 The formula labels training documents only. It has no part in the result.
 
@@ -43,7 +42,6 @@ from loomline.llm.keys import words
 BOUNDARIES = (30.0, 45.0, 60.0)
 LEAST_WORDS = 50
 LONG_WORD = 6
-SAMPLE = 20_000
 #: Symbols of the smoothing prior of each grade.
 SEED = 200.0
 #: Percentage points of long words, and words a sentence, of a grade.
@@ -108,7 +106,7 @@ def nearest_grade(grid: np.ndarray, long: int, other: int, ends: int) -> int:
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symbol counts per grade of the labelled sample, one row per batch and grade."""
+    """Symbol counts per grade of the labelled documents, one row per batch and grade."""
     grid = grade_grid()
     for batch in batches:
         counts: dict[int, np.ndarray] = {}
@@ -145,11 +143,15 @@ class GradeModels:
         return (np.concatenate(grades), np.concatenate(odds)) if grades else (np.zeros(0, np.int64), np.zeros(0))
 
 
-def train_models(documents: DataFrame, sample: int = SAMPLE, text_column: str = "text", id_column: str = "doc_id") -> list[tuple[int, int, int, int]]:
-    """Symbol counts for ``GradeModels``, one row per grade at most, from about ``sample`` documents."""
-    n = documents.count()
-    chosen = documents.select(F.col(text_column).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)).alias("draw"))
-    chosen = chosen.filter(F.col("draw") < F.lit(math.ceil((1 << 30) * min(1.0, sample / max(1, n))))).select("text")
+def train_models(documents: DataFrame, sample: int | None = None, text_column: str = "text", id_column: str = "doc_id") -> list[tuple[int, int, int, int]]:
+    """Symbol counts for ``GradeModels``, one row per grade at most, from all documents.
+
+    sample: only for trials, about so many documents (a hash range of the ids).
+    """
+    chosen = documents.select(F.col(text_column).cast("string").alias("text"))
+    if sample is not None:
+        share = min(1.0, sample / max(1, documents.count()))
+        chosen = documents.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * share))).select(F.col(text_column).cast("string").alias("text"))
     counts = chosen.mapInArrow(_labelled, "grade int, long bigint, other bigint, ends bigint").groupBy("grade").agg(*(F.sum(c).alias(c) for c in ("long", "other", "ends")))
     return [tuple(r) for r in counts.collect()]
 
@@ -172,12 +174,12 @@ def _graded(shared, n_kept: int):
     return run
 
 
-def reading_levels(documents: DataFrame, sample: int = SAMPLE, kept: tuple[str, ...] = ()) -> DataFrame:
+def reading_levels(documents: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, band, grade, log_odds, kept columns as text) of every document with enough prose.
 
     ``log_odds``: how much likelier its grade is than the best one of another band.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(train_models(documents, sample))
+    shared = documents.sparkSession.sparkContext.broadcast(train_models(documents))
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *(F.col(c).cast("string").alias(f"kept_{i}") for i, c in enumerate(kept)))
     schema = "doc_id bigint, band int, grade int, log_odds double" + "".join(f", kept_{i} string" for i in range(len(kept)))
     return texts.mapInArrow(_graded(shared, len(kept)), schema).select("doc_id", "band", "grade", "log_odds", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)))

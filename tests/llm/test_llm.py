@@ -333,6 +333,12 @@ def test_training_moves_the_models(spark, data):
     assert counts and not np.array_equal(grading.GradeModels(counts).log, grading.GradeModels([]).log)
 
 
+def test_models_count_every_document(spark):
+    # more documents than any sample held
+    df = spark.range(25_000).selectExpr("id as doc_id", "repeat('cat sat on the mat. ', 10) as text")
+    assert [tuple(r) for r in grading.train_models(df)][0][1:] == (0, 25_000 * 50, 25_000 * 10)
+
+
 def test_models_agree_with_the_formula_away_from_boundaries():
     rng = np.random.default_rng(3)
     words_, ends = rng.integers(80, 3000, 20_000), rng.integers(2, 200, 20_000)
