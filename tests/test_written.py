@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     return directory
 
 
-@pytest.mark.parametrize("name", ["near_dup_groups", "cross_pairs_085_top50"])
+@pytest.mark.parametrize("name", ["near_dup_groups", "cross_pairs_085_top50", "threshold_counts"])
 def test_query_writes_in_proportion_to_the_texts(spark, tables, name):
     before = written(spark)
     registry.QUERIES[name](spark, tables).count()
